@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii_crf, quality_fm, simhash_dedup, token_counts, toxicity, url_rules
+from . import decontamination, exact_dedup, mixing, pii_crf, quality_fm, simhash_dedup, token_counts, toxicity, url_rules, warc_index
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_url_filters": url_rules.op5_url_filters,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
+    "op9_warc": warc_index.op9_warc,
     "op10_quality": quality_fm.op10_quality,
 }
 ORACLES = {
