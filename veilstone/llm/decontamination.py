@@ -144,10 +144,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 
 def keep_rows(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs that hold no item, with docs' own columns."""
-    found = work.written(leaks(docs, benchmark, **settings).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct(), "leaky")
+    found = work.written(leaks(docs, benchmark, **settings).select("doc", "tag").distinct(), "leaky")
     text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumns({"__doc": work.id_or_least(), "__tag": F.xxhash64(text, F.length(text))})
-    return marked.join(found, ["__doc", "__tag"], "left_anti").select(*docs.columns)
+    return work.without(docs, {"doc": work.id_or_least(), "tag": F.xxhash64(text, F.length(text))}, found)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

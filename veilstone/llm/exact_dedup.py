@@ -109,14 +109,9 @@ def keep_rows(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     index = DigestIndex(spark, index_path or work.fresh_path(spark, "digest-index"))
     decided = ingest(docs, index)
     dropped = work.written(decided.filter(~F.col("kept")).select("doc", "digest").distinct(), "dropped")
-    mark = {"__doc": work.id_or_least(), "__digest": text_digest()}
-    kept = docs.withColumns(mark).join(
-        dropped.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest")), ["__doc", "__digest"], "left_anti"
-    )
+    kept = work.without(docs, {"doc": work.id_or_least(), "digest": text_digest()}, dropped)
     repeated = decided.filter("kept").groupBy("digest").count().filter("count > 1").limit(1).count()
-    if repeated:  # rows that repeat both doc_id and text: one of them stays
-        kept = kept.dropDuplicates(["__doc", "__digest"])
-    return kept.select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept  # rows that repeat both doc_id and text: one of them stays
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,20 +102,23 @@ def mix_report(docs: DataFrame, **settings) -> DataFrame:
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs, each as often as the plan takes it, with ``copy`` from 1 on."""
+    """The rows of docs, each as often as the plan takes it, with ``copy`` from 1 on (in place of a column of that name)."""
     planned = plan(docs, **settings)
     key = ["doc", "origin", "size"]
     planned = work.written(planned.withColumn("turn", F.row_number().over(W.partitionBy(*key).orderBy("copies"))), "mix-plan")
     several = planned.filter("turn > 1").limit(1).count() > 0
+    docs = docs.drop("copy")
+    names = work.free_names(docs, *key, "turn", "copies")
+    doc, origin, size, order, copies = names
     mine = docs.withColumns({
-        "__doc": work.id_or_least(),
-        "__origin": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")),
-        "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        doc: work.id_or_least(),
+        origin: F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")),
+        size: F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
     })
-    turn = F.row_number().over(W.partitionBy("__doc", "__origin", "__size").orderBy("text")) if several else F.lit(1)
-    chosen = planned.filter("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in (*key, "turn", "copies")])
-    joined = mine.withColumn("__turn", turn).join(chosen, ["__doc", "__origin", "__size", "__turn"])
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    turn = F.row_number().over(W.partitionBy(doc, origin, size).orderBy("text")) if several else F.lit(1)
+    chosen = planned.filter("copies > 0").select(*[F.col(c).alias(n) for c, n in zip((*key, "turn", "copies"), names, strict=True)])
+    joined = mine.withColumn(order, turn).join(chosen, [doc, origin, size, order])
+    return joined.select(*work.own_columns(docs), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("copy"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,6 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
 def keep_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the rows of a group that don't stay, with docs' own columns."""
     told = groups(docs, words, similarity)
-    gone = told.filter("doc <> keep_doc or tag <> keep_tag").select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    gone = work.written(told.filter("doc <> keep_doc or tag <> keep_tag").select("doc", "tag").distinct(), "gone")
     text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumns({"__doc": work.id_or_least(), "__tag": F.xxhash64(text, F.length(text))})
-    return marked.join(work.written(gone, "gone"), ["__doc", "__tag"], "left_anti").select(*docs.columns)
+    return work.without(docs, {"doc": work.id_or_least(), "tag": F.xxhash64(text, F.length(text))}, gone)

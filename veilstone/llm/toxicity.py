@@ -27,9 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import work
 from .labelled import LIMIT, labelled_sample, remainder
@@ -163,21 +162,19 @@ def learn_terms(sample: DataFrame) -> Terms | None:
     return Terms({r["term"]: r["odds"] for r in rows}, other, max(low, 0.05))
 
 
-def _scan(docs: DataFrame, terms: Terms, keep: list[str]) -> DataFrame:
-    """docs' columns of ``keep`` with best and several (see ``features``)."""
-    spark = docs.sparkSession
+def _scan(spark: SparkSession, terms: Terms) -> Column:
+    """best and several (see ``features``) of the column text; only that column goes to Python."""
     work.small_batches(spark)
     shipped = spark.sparkContext.broadcast(terms)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("best", T.DoubleType()), T.StructField("several", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("best double, several double")
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(shipped.value)
-        for batch in batches:
-            found = [features(*scanner.segments(t or ""), scanner.terms.decay) for t in batch.column(len(keep)).to_pylist()]
-            columns = [batch.column(i) for i in range(len(keep))] + [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "best", "several"])
+        for batch in texts:
+            found = [features(*scanner.segments(t or ""), scanner.terms.decay) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)], ["best", "several"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return scan(F.col("text"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -200,17 +197,19 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> Model | Non
     terms = learn_terms(sample)
     if terms is None:
         return None
-    seen = np.array([(r["y"], r["best"], r["several"]) for r in _scan(sample, terms, ["y"]).collect()], dtype=float)
+    scanned = sample.select("y", _scan(docs.sparkSession, terms).alias("s")).select("y", "s.best", "s.several")
+    seen = np.array(sorted(map(tuple, scanned.collect())), dtype=float)
     return Model(terms, tuple(_logistic(seen[:, 1:], seen[:, 0])))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """docs' columns of ``keep`` and score in [0, 1]."""
+def with_score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs with a score in [0, 1] under a name that docs doesn't have."""
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"))
+        return docs.withColumn(name, F.lit(0.0))
     a, b, c = (F.lit(float(w)) for w in model.weights)
-    scanned = _scan(docs, model.terms, keep)
-    return scanned.select(*keep, (1 / (1 + F.exp(-(a + b * F.col("best") + c * F.col("several"))))).alias("score"))
+    (seen,) = work.free_names(docs, f"{name}_parts")
+    margin = a + b * F.col(seen)["best"] + c * F.col(seen)["several"]
+    return docs.withColumn(seen, _scan(docs.sparkSession, model.terms)).withColumn(name, 1 / (1 + F.exp(-margin))).drop(seen)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -243,14 +242,14 @@ def keep_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = learn(docs, labels)
     if model is None:
         return docs
-    scored = score(docs.withColumn("__text", F.col("text")), model, ["__text", *[c for c in docs.columns if c != "text"]])
-    return scored.filter(F.col("score") < threshold).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    (name,) = work.free_names(docs, "score")
+    return with_score(docs, model, name).filter(F.col(name) < threshold).select(*work.own_columns(docs))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return score(ids, model, ["doc_id"]).select(
+    return with_score(ids, model).select(
         "doc_id", (remainder(MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

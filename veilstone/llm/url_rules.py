@@ -105,6 +105,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", i
     """pages' columns but those named as the results, with host, path, rule and verdict."""
     rules = default_rules() if rules is None else rules
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    (best_,) = work.free_names(pages, "best")
     split = pages.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not rules:
         return split.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
@@ -117,7 +118,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", i
         hits = F.array_intersect(tokens_of(F.col("host"), F.col("path")), wanted)
         candidates = F.flatten(F.transform(hits, lambda t: entries[t]))
         address = F.concat("host", "path")
-        judged = split.withColumn("__best", _first(F.filter(candidates, lambda r: F.rlike(address, r["regex"]))))
+        judged = split.withColumn(best_, _first(F.filter(candidates, lambda r: F.rlike(address, r["regex"]))))
     else:
         table = pages.sparkSession.createDataFrame(
             [(t, r.rank, r.text, r.verdict, r.regex, r.named) for t, rs in index.items() for r in rs],
@@ -126,9 +127,9 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", i
         each = split.select("host", "path").distinct()
         pairs = each.withColumn("token", F.explode(tokens_of(F.col("host"), F.col("path")))).join(table, "token")
         fits = pairs.filter(F.expr("concat(host, path) rlike regex"))
-        best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rank", "text", "verdict", "regex", "named"), F.struct(-F.col("rank"), "text")).alias("__best"))
+        best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rank", "text", "verdict", "regex", "named"), F.struct(-F.col("rank"), "text")).alias(best_))
         judged = split.join(work.written(best, "url-verdicts"), ["host", "path"], "left")
-    best = F.col("__best")
+    best = F.col(best_)
     return judged.select(
         *rest, "host", "path",
         F.when(best["named"], best["text"]).alias("rule"),

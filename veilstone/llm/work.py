@@ -64,6 +64,31 @@ def id_or_null(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened where df has columns so named."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, marks: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """The rows of docs whose marks are not in gone, which has a column for each mark; docs' own columns, under any names."""
+    names = free_names(docs, *marks)
+    marked = docs.withColumns(dict(zip(names, marks.values(), strict=True)))
+    keys = gone.select(*[F.col(k).alias(n) for k, n in zip(marks, names, strict=True)])
+    return marked.join(keys, names, "left_anti").select(*own_columns(docs))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch can hold, since a row can carry a very long text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
