@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
     from veilstone.session import local_session
 
     warehouse = tmp_path_factory.mktemp("warehouse")
-    session = local_session(4, 4, **{"spark.sql.warehouse.dir": str(warehouse), "driver_memory": "4g"})
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), 4, **{"spark.sql.warehouse.dir": str(warehouse), "driver_memory": "4g"})
     yield session
     session.stop()
 
