@@ -86,6 +86,8 @@ def test_rejected_candidates_resume():
     assert [m[0] for m in patterns.detect_text("14111111111111111")] == []
     assert patterns.detect_text("x 4111 1111 1111 1112 4111111111111111")[0][3] == "4111111111111111"
     assert patterns.detect_text("12345678901234567890123456789 a@b.org", ["card"]) == []
+    assert [m[1] for m in patterns.detect_text("4465758382889437 4465758382889437")] == [0, 17]
+    assert patterns.detect_text("4111x1111x1111x1111") == [] and len(patterns.detect_text("4111\u20131111\u00a01111\u20091111")) == 1
 
 
 def test_word_places_agree(spark):

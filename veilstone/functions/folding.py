@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Turkish letters and what they fold to.
 _FROM, _TO = "çğıöşüâîûÇĞİIÖŞÜÂÎÛ", "cgiosuaiucgiiosuaiu"
-_SEPARATORS = r"[\s  -   　_.\-–—]+"
-_separator = re.compile(r"[\s_.\-–—]")
+_SEPARATORS = r"[\s\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000_.\-\u2013\u2014]+"
+_separator = re.compile(r"[\s_.\-\u2013\u2014]")
 
 
 def fold(x: Column) -> Column:

@@ -94,7 +94,7 @@ def lower_tr(x: Column) -> Column:
 
 def collapse(x: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(x, r"[\s  -   　]+", " "))
+    return F.trim(F.regexp_replace(x, r"[\s\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]+", " "))
 
 
 def normalized(category: Column, raw: Column) -> Column:

@@ -22,8 +22,8 @@ from ..functions.validators import RANK, TR_AREA_CODES
 
 _AREAS = frozenset(TR_AREA_CODES)
 _LOCAL = r"\p{L}\p{M}\p{N}._%+'-"
-_GAP = r"[ \-      -‏  　‐-―]"
-_BREAK = r"[ .\-      -‏  　‐-―]"
+_GAP = r"[ \-\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\u2010-\u2015]"
+_BREAK = r"[ .\-\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\u2010-\u2015]"
 
 PATTERNS = (
     ("email", regex.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]++@(?:[\p{{L}}\p{{M}}\p{{N}}-]++\.)+\p{{L}}{{2,63}}+(?!\p{{L}})")),
