@@ -48,7 +48,8 @@ class DigestIndex:
 
     def new_groups(self, batch: DataFrame) -> DataFrame:
         """One row for each digest of batch(digest, doc) that the index lacks."""
-        groups = batch.groupBy("digest").agg(F.max("doc").alias("keep_id"))
+        # written, because the optimizer would move the anti-join below the aggregation, where a repeated text still has all its rows
+        groups = work.written(batch.groupBy("digest").agg(F.max("doc").alias("keep_id")), "batch-groups")
         return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
