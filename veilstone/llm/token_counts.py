@@ -35,7 +35,7 @@ TABLE_ROWS = 500_000
 #: The published pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters about whose classes all engines agree: ASCII without the rare separators, Latin letters and common marks.
-PLAIN = r"[\t\n\r\x20-\x7E¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞€]*"
+PLAIN = r"[\t\n\r\x20-\x7E\u00A1-\u00A9\u00AB-\u00B1\u00B4\u00B6-\u00B8\u00BB\u00BF-\u024F\u2010-\u2027\u2030-\u205E\u20AC]*"
 
 
 class PieceTable:

@@ -51,7 +51,7 @@ def path_rule(verdict: str, text: str) -> Rule:
     host = host.lower()
     regex = rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}"
     # the path's last word may go on in the URL, so only words that end inside the rule are literal tokens
-    words = re.findall(TOKEN + r"(?=[\x00-\x7F])", path.lower())
+    words = re.findall(TOKEN + r"(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", path.lower())
     return Rule(text, verdict, regex, tuple(re.findall(TOKEN, host)) + tuple(words), len(text), True)
 
 
