@@ -10,11 +10,11 @@ and there are as many keys as let a pair meet nowhere with probability ``MISS``
 k grows with the logarithm of the number of texts, so that strangers seldom meet.
 
 Rows are sorted by key. Under each key a scan keeps up to ``LEADERS`` texts that no
-earlier one resembles; a text becomes a candidate pair with each leader within
-``NEAR_64`` of 64 bits, and never with all members of a group, so a group that fills a
-third of the table costs as much as any other rows. Pairs within ``NEAR_256`` of 256
-bits are verified by the exact Jaccard similarity of their shingle sets, and verified
-links become components.
+earlier one stands close to (``CLOSE`` of 64 bits, what texts at the least similarity
+differ by); a text becomes a candidate pair with the nearest leader within ``NEAR_64``,
+and never with all members of a group, so a group that fills a third of the table costs
+as much as any other rows. Pairs within ``NEAR_256`` of 256 bits are verified by the
+exact Jaccard similarity of their shingle sets, and verified links become components.
 
 Defined results: a null text counts as empty; texts without words are all alike; fewer
 words than a shingle give one shingle; equal texts are one node; the row with the least
@@ -36,9 +36,10 @@ from . import work
 from .components import components
 from .simhash_dedup import hashes
 
-WORDS, SIMILARITY, MISS = 5, 0.8, 0.01
-NEAR_64, NEAR_256, LEADERS = 20, 62, 16
+WORDS, SIMILARITY, MISS = 5, 0.8, 0.002
+CLOSE, NEAR_64, NEAR_256, LEADERS = 10, 20, 62, 16
 BROADCAST_ROWS = 500_000
+_WORD = 0xFFFFFFFFFFFFFFFF
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -75,7 +76,7 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return work.written(docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, f0 long, f1 long, f2 long, f3 long"), "wide-fingerprints")
 
 
-def _candidates(nodes: DataFrame, bits: int, tables: int, near: int) -> DataFrame:
+def _candidates(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     """u, v: pairs of nodes(tag, f0..f3) that meet under a key."""
     chosen = np.array([np.random.default_rng(t).choice(256, bits, replace=False) for t in range(tables)])
     powers = 1 << np.arange(bits, dtype=np.int64)
@@ -84,10 +85,10 @@ def _candidates(nodes: DataFrame, bits: int, tables: int, near: int) -> DataFram
         for batch in batches:
             words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]).astype(np.int64)
             held = np.unpackbits(words.view(np.uint8).reshape(-1, 32), axis=1)
-            tags, first = batch.column(0).to_numpy(zero_copy_only=False), words[:, 0]
+            tags, first = batch.column(0), pa.array(words[:, 0])
             for t, places in enumerate(chosen):
                 key = (held[:, places].astype(np.int64) @ powers) + (t << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tags), pa.array(first)], names=["key", "tag", "f0"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), tags, first], names=["key", "tag", "f0"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leaders = None, []
@@ -99,14 +100,14 @@ def _candidates(nodes: DataFrame, bits: int, tables: int, near: int) -> DataFram
             busy = np.concatenate([[True], same]) | np.concatenate([same, [True]])  # alone under its key: nothing to do
             u, v = [], []
             for i in np.flatnonzero(busy):
-                k, mine, f = int(key[i]), int(tag[i]), int(bits64[i]) & 0xFFFFFFFFFFFFFFFF
+                k, mine, f = int(key[i]), int(tag[i]), int(bits64[i]) & _WORD
                 if k != last:
                     last, leaders = k, []
-                alike = [t for t, g in leaders if (f ^ g).bit_count() <= near]
-                for t in alike:
+                apart, nearest = min((((f ^ g).bit_count(), t) for t, g in leaders), default=(256, 0))
+                if apart <= NEAR_64:
                     u.append(mine)
-                    v.append(t)
-                if not alike:
+                    v.append(nearest)
+                if apart > CLOSE:
                     leaders.append((mine, f))
                     if len(leaders) > LEADERS:
                         leaders.pop(0)
@@ -121,7 +122,7 @@ def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: flo
     """u, v: verified links between tags of docs(doc, tag, text), given its fingerprints."""
     nodes = work.written(found.dropDuplicates(["tag"]).drop("doc"), "text-nodes")
     bits, tables = key_shape(nodes.count(), similarity)
-    pairs = work.written(_candidates(nodes, bits, tables, NEAR_64), "candidate-pairs")
+    pairs = work.written(_candidates(nodes, bits, tables), "candidate-pairs")
     words4 = [f"f{i}" for i in range(4)]
     near = pairs.join(nodes.select(F.col("tag").alias("u"), *[F.col(w).alias(f"u{w}") for w in words4]), "u").join(nodes.withColumnRenamed("tag", "v"), "v")
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"u{w}"))) for w in words4), F.lit(0))
