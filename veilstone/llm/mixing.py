@@ -117,7 +117,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     })
     turn = F.row_number().over(W.partitionBy(doc, origin, size).orderBy("text")) if several else F.lit(1)
     chosen = planned.filter("copies > 0").select(*[F.col(c).alias(n) for c, n in zip((*key, "turn", "copies"), names, strict=True)])
-    joined = mine.withColumn(order, turn).join(chosen, [doc, origin, size, order])
+    joined = mine.withColumn(order, turn).join(work.broadcast_if(chosen, work.BROADCAST_ROWS), [doc, origin, size, order])
     return joined.select(*work.own_columns(docs), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("copy"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Rows in one Arrow batch sent to Python. Texts can be long, so batches are short.
 ARROW_ROWS = 256
+#: Keys of a few numbers are broadcast up to so many counted rows (some tens of MB); beyond that the join shuffles.
+BROADCAST_ROWS = 500_000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -86,7 +88,7 @@ def without(docs: DataFrame, marks: dict[str, Column], gone: DataFrame) -> DataF
     names = free_names(docs, *marks)
     marked = docs.withColumns(dict(zip(names, marks.values(), strict=True)))
     keys = gone.select(*[F.col(k).alias(n) for k, n in zip(marks, names, strict=True)])
-    return marked.join(keys, names, "left_anti").select(*own_columns(docs))
+    return marked.join(broadcast_if(keys, BROADCAST_ROWS), names, "left_anti").select(*own_columns(docs))
 
 
 def small_batches(spark: SparkSession) -> None:
