@@ -135,7 +135,8 @@ def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["tag", "h"])
 
     texts = docs.select("tag", "text").join(work.broadcast_if(wanted, BROADCAST_ROWS), "tag")
-    held = work.written(texts.mapInArrow(sets, "tag long, h array<long>"), "shingle-sets").dropDuplicates(["tag"])
+    held = texts.mapInArrow(sets, "tag long, h array<long>").dropDuplicates(["tag"])
+    held = work.written(held, "shingle-sets")  # read back, each join's sides are plain exchanges, which Spark can split
     both = near.join(held.select(F.col("tag").alias("u"), F.col("h").alias("a")), "u").join(held.select(F.col("tag").alias("v"), F.col("h").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter((F.size("a") + F.size("b") == 0) | (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v")
