@@ -108,7 +108,7 @@ def keep_rows(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
     spark = docs.sparkSession
     index = DigestIndex(spark, index_path or work.fresh_path(spark, "digest-index"))
-    decided = ingest(docs, index)
+    decided = work.written(ingest(docs, index), "decisions")
     dropped = work.written(decided.filter(~F.col("kept")).select("doc", "digest").distinct(), "dropped")
     kept = work.without(docs, {"doc": work.id_or_least(), "digest": text_digest()}, dropped)
     repeated = decided.filter("kept").groupBy("digest").count().filter("count > 1").limit(1).count()
