@@ -11,8 +11,9 @@ k grows with the logarithm of the number of texts, so that strangers seldom meet
 
 Rows are sorted by key. Under each key a scan keeps up to ``LEADERS`` texts that no
 earlier one stands close to (``CLOSE`` of 64 bits, what texts at the least similarity
-differ by); a text becomes a candidate pair with the nearest leader within ``NEAR_64``,
-and never with all members of a group, so a group that fills a third of the table costs
+differ by). A text becomes a candidate pair with one leader: the first one close to it,
+which is the same in most keys of a large group, else the nearest within ``NEAR_64``. It is
+never paired with all members of a group, so a group that fills a third of the table costs
 as much as any other rows. Pairs within ``NEAR_256`` of 256 bits are verified by the
 exact Jaccard similarity of their shingle sets, and verified links become components.
 
@@ -103,7 +104,12 @@ def _candidates(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                 k, mine, f = int(key[i]), int(tag[i]), int(bits64[i]) & _WORD
                 if k != last:
                     last, leaders = k, []
-                apart, nearest = min((((f ^ g).bit_count(), t) for t, g in leaders), default=(256, 0))
+                apart, nearest = 256, 0
+                for t, g in leaders:
+                    if (d := (f ^ g).bit_count()) < apart:
+                        apart, nearest = d, t
+                        if d <= CLOSE:
+                            break
                 if apart <= NEAR_64:
                     u.append(mine)
                     v.append(nearest)
