@@ -116,3 +116,8 @@ def step_fraction(page: Column, step: Column, pages: Column) -> Column:
     """Progress of a page renderer: four steps a page and a final one; an unknown step is null."""
     place = F.when(step == "render", 1).when(step == "recognise", 2).when(step == "paint", 3).when(step == "encode", 4)
     return F.when(step == "final", F.lit(1.0)).otherwise((page * 4 + place) / (pages * 4 + 1))
+
+
+def download_fraction(loaded: Column, total: Column, complete: Column) -> Column:
+    """Progress of a download over its files; 99 % at most until all are complete."""
+    return F.when(complete, F.lit(1.0)).otherwise(F.least(loaded / total, F.lit(0.99)))

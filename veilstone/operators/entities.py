@@ -76,20 +76,26 @@ def infer_distinct(units: DataFrame, provider: Callable[[list[str]], list[list[t
     pieces = chunks(distinct, profile).select("same", "chunk_ix", F.col("start").alias("at"), "chunk")
     schema = "same long, chunk_ix int, tok_ix int, word string, tag string, score double, start int, end int, status string"
 
+    def answered(part: list[tuple]) -> list[tuple]:
+        """Rows of a batch; where it fails its texts are asked about one by one, and the error stays with those that fail again."""
+        try:
+            answers = provider([h[3] for h in part])
+        except Exception as e:  # noqa: BLE001  a failed model is a warning on its text, which blocks it later
+            if len(part) > 1:
+                return [row for h in part for row in answered([h])]
+            return [(part[0][0], part[0][1], 0, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+        return [
+            (same, chunk, i, w, tag, float(score), at + a, at + b, "ok")
+            for (same, chunk, at, _), tokens in zip(part, answers, strict=True) for i, (w, tag, score, a, b) in enumerate(tokens)
+        ]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             rows, held = [], list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             size = 32 if all(len(h[3]) <= 160 for h in held) else 8
             for k in range(0, len(held), size):
-                part = held[k : k + size]
-                try:
-                    answers = provider([h[3] for h in part])
-                except Exception as e:  # noqa: BLE001  a failed model is a warning on its texts, which blocks them later
-                    rows += [(s, c, 0, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]) for s, c, _, _ in part]
-                    continue
-                for (same, chunk, at, _), tokens in zip(part, answers, strict=True):
-                    rows += [(same, chunk, i, w, tag, float(score), at + a, at + b, "ok") for i, (w, tag, score, a, b) in enumerate(tokens)]
+                rows += answered(held[k : k + size])
             columns = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split(" ")[0] for f in schema.split(", ")])
 

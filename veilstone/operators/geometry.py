@@ -98,3 +98,21 @@ def assign_columns(cells: DataFrame, labels: DataFrame) -> DataFrame:
     stopped = F.max(F.when((F.coalesce("n", F.lit(0)) < 2) | (F.col("step") > 1), 1).otherwise(0)).over(island.rowsBetween(W.unboundedPreceding, 0))
     going = every.withColumn("stopped", stopped).filter("stopped = 0").select("doc_id", "page", "line")
     return hit.join(going, ["doc_id", "page", "line"], "left_semi").select("doc_id", "page", "line", "category", "text")
+
+
+def recognised_words(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, page, blocks array of (paragraphs of (lines of (words of (str, confidence))))) as one row a word, in reading order."""
+    words = F.flatten(F.flatten(F.transform("blocks", lambda b: F.transform(b["paragraphs"], lambda p: F.flatten(F.transform(p["lines"], lambda x: x["words"]))))))
+    return pages.select("doc_id", "page", F.posexplode(words).alias("word_ix", "w")).select("doc_id", "page", "word_ix", F.trim("w.str").alias("str"), "w.confidence").filter("str <> ''")
+
+
+def annotation_values(annotations: DataFrame) -> DataFrame:
+    """annotations(doc_id, page, ann_ix, field_value array, button_value, alt_text, contents, title) as form units: one row for each value that isn't blank."""
+    values = F.concat(F.coalesce("field_value", F.array().cast("array<string>")), F.array("button_value", "alt_text", "contents", "title"))
+    held = F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != ""))
+    return annotations.select("doc_id", "page", "ann_ix", F.posexplode(held).alias("value_ix", "value"))
+
+
+def needs_recognition(page_text_: str = "text", images: str = "images", least: int = 8):
+    """Whether a page goes to a recogniser: hardly any text, and an image."""
+    return (F.length(F.regexp_replace(page_text_, r"\s", "")) < least) & (F.col(images) > 0)

@@ -139,3 +139,16 @@ def upload_decision(uploads: DataFrame, approvals: DataFrame, policy: Column, mi
         "upload_id", F.when((F.col("size") < 4096) | ~policy, "ignore").when(F.col("ok"), "allow").when(document | (F.col("size") >= 262_144), "block").otherwise("allow").alias("verdict")
     )
     return first.union(second)
+
+
+def merge_summaries(summaries: DataFrame, by: str) -> DataFrame:
+    """One event of several summaries: counts add up, maps add up key by key, formats that are known are listed once; without findings there is no event."""
+    maps = [c for c in summaries.columns if c.startswith("by_")]
+    total = summaries.groupBy(by).agg(
+        F.sum("findings").alias("findings"), F.sum("occurrences").alias("occurrences"),
+        F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(F.coalesce("formats", F.array().cast("array<string>")))), lambda f: f.isin(*FORMATS)))).alias("formats"),
+    )
+    for name in maps:
+        each = summaries.select(by, F.explode(name).alias("k", "n")).groupBy(by, "k").agg(F.sum("n").alias("n"))
+        total = total.join(each.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)), by, "left")
+    return total.filter("findings > 0")

@@ -23,6 +23,11 @@ from .findings import LAYERS
 BROADCAST_ROWS = 500_000
 
 
+def broadcast_if(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a table for broadcast when a count shows that it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def validate_rules(rules: DataFrame) -> DataFrame:
     """rules(rule_ord, rule_id, find, replacement, exact) trimmed, with ``problem`` (null: good); blank rules are dropped."""
     trimmed = rules.withColumn("find", F.trim(F.coalesce("find", F.lit("")))).withColumn("replacement", F.trim(F.coalesce("replacement", F.lit(""))))
@@ -80,14 +85,23 @@ def unit_words_long(units: DataFrame) -> DataFrame:
 
 
 def match_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
-    """doc_id, unit_ix, rule_ord, rule_id, start, end, raw: tolerant matches of normalised rules, without overlap within a rule."""
-    words = unit_words_long(units)
-    index = rule_index(rules)
-    small = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    index = F.broadcast(index) if small else index
-    vary = words.select("word").distinct().withColumn("variant", F.explode(folding.deletion_variants(F.col("word"), F.least(F.lit(2), F.when(F.length("word") < 4, 0).when(F.length("word") < 7, 1).otherwise(2)))))
+    """doc_id, unit_ix, rule_ord, rule_id, start, end, raw: tolerant matches of normalised rules, without overlap within a rule.
+
+    The distinct words decide which units can match at all; only those units' words get
+    their places, so a corpus with few matches isn't sorted by place.
+    """
+    index = broadcast_if(rule_index(rules))
+    held = units.filter("text is not null").select("doc_id", "unit_ix", F.explode(F.array_distinct(folding.tokens(F.col("text")))).alias("raw"))
+    held = held.select("doc_id", "unit_ix", folding.comparison(F.col("raw")).alias("word"))
+    # a word can only match an anchor of about its length, and needs no more deletions than that anchor's tolerance
+    edits, size = F.get("tolerances", F.col("anchor")), F.length(F.get("words", F.col("anchor")))
+    lengths = index.select(F.explode(F.sequence(F.greatest(size - edits, F.lit(1)), size + edits)).alias("length"), edits.alias("edits")).groupBy("length").agg(F.max("edits").alias("edits"))
+    sized = held.select("word", F.length("word").alias("length")).distinct().join(broadcast_if(lengths), "length")
+    vary = sized.select("word", F.explode(folding.deletion_variants(F.col("word"), F.col("edits"))).alias("variant"))
     hits = vary.join(index, "variant").select("word", "rule_ord", "rule_id", "words", "tolerances", "anchor").distinct()
     near = hits.filter(F.expr("levenshtein(word, get(words, anchor), get(tolerances, anchor)) between 0 and get(tolerances, anchor)"))
+    likely = held.join(near.select("word").distinct(), "word", "left_semi").select("doc_id", "unit_ix").distinct()
+    words = unit_words_long(units.join(likely, ["doc_id", "unit_ix"], "left_semi"))
     anchored = words.join(near, "word").select("doc_id", "unit_ix", "rule_ord", "rule_id", "words", "tolerances", (F.col("word_ix") - F.col("anchor")).alias("first")).filter("first >= 0").distinct()
     each = anchored.select("*", F.posexplode("words").alias("k", "expected")).withColumn("word_ix", F.col("first") + F.col("k"))
     checked = each.join(words, ["doc_id", "unit_ix", "word_ix"]).filter(F.expr("levenshtein(word, expected, get(tolerances, k)) between 0 and get(tolerances, k)"))
@@ -110,7 +124,7 @@ def rule_findings(matches: DataFrame, rules: DataFrame) -> DataFrame:
     grouped = matches.groupBy("doc_id", "rule_ord", "rule_id").agg(
         F.min_by("raw", place).alias("value"), F.array_sort(F.collect_set("raw")).alias("variants"), F.count(F.lit(1)).alias("count")
     )
-    joined = grouped.join(F.broadcast(rules.select("rule_ord", "replacement", "comparison")) if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rules.select("rule_ord", "replacement", "comparison"), "rule_ord")
+    joined = grouped.join(broadcast_if(rules.select("rule_ord", "replacement", "comparison")), "rule_ord")
     return joined.select(
         "doc_id", F.lit(LAYERS["rules"]).alias("layer"), F.col("rule_ord").alias("ord"), F.lit("custom").alias("category"), F.col("comparison").alias("normalized"),
         "value", "variants", "count", F.lit("exact").alias("confidence"), F.lit(None).cast("double").alias("score"), "replacement",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from . import core
+from .more import ORACLES, QUERIES
 
-QUERIES = core.QUERIES
-ORACLES = core.ORACLES
+__all__ = ["ORACLES", "QUERIES"]

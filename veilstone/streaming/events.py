@@ -73,3 +73,18 @@ def activity(events: DataFrame, by: str = "tab") -> DataFrame:
     told = events.withColumn("life", life)
     n = F.sum(F.when(F.col("event_type") == "navigate", 0).otherwise(1)).over(W.partitionBy(by, "life").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
     return told.withColumn("n", n).withColumn("badge", F.when(F.col("n") > 99, "99+").otherwise(F.col("n").cast("string"))).drop("life")
+
+
+def paired_uploads(events: DataFrame, minutes: int = 10) -> DataFrame:
+    """upload_id, began, finished: begin and finish events of an upload, paired within the interval."""
+    if events.isStreaming:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 minute")
+    begun = events.filter("event_type = 'begin'").select(F.col("upload_id").alias("b_id"), F.col("ts").alias("began"))
+    ended = events.filter("event_type = 'finish'").select("upload_id", F.col("ts").alias("finished"))
+    fits = (F.col("b_id") == F.col("upload_id")) & (F.col("finished") >= F.col("began")) & (F.col("finished") <= F.col("began") + F.expr(f"INTERVAL {minutes} MINUTES"))
+    return begun.join(ended, fits).select("upload_id", "began", "finished")
+
+
+def latest_per_key(events: DataFrame, key: str, time: str) -> DataFrame:
+    """The newest event of each key; on a stream the state is one row a key."""
+    return events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), time).alias("e")).select(key, "e.*")
