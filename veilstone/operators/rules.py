@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import folding
+from ..session import stored
 from .findings import LAYERS
 
 #: Rule tables of up to so many variants are broadcast; longer ones are shuffled.
@@ -100,9 +101,10 @@ def match_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
     vary = sized.select("word", F.explode(folding.deletion_variants(F.col("word"), F.col("edits"))).alias("variant"))
     hits = vary.join(index, "variant").select("word", "rule_ord", "rule_id", "words", "tolerances", "anchor").distinct()
     near = hits.filter(F.expr("levenshtein(word, get(words, anchor), get(tolerances, anchor)) between 0 and get(tolerances, anchor)"))
-    likely = held.join(near.select("word").distinct(), "word", "left_semi").select("doc_id", "unit_ix").distinct()
+    near = stored(near)  # a few of the distinct words; used twice
+    likely = held.join(broadcast_if(near.select("word").distinct()), "word", "left_semi").select("doc_id", "unit_ix").distinct()
     words = unit_words_long(units.join(likely, ["doc_id", "unit_ix"], "left_semi"))
-    anchored = words.join(near, "word").select("doc_id", "unit_ix", "rule_ord", "rule_id", "words", "tolerances", (F.col("word_ix") - F.col("anchor")).alias("first")).filter("first >= 0").distinct()
+    anchored = words.join(broadcast_if(near), "word").select("doc_id", "unit_ix", "rule_ord", "rule_id", "words", "tolerances", (F.col("word_ix") - F.col("anchor")).alias("first")).filter("first >= 0").distinct()
     each = anchored.select("*", F.posexplode("words").alias("k", "expected")).withColumn("word_ix", F.col("first") + F.col("k"))
     checked = each.join(words, ["doc_id", "unit_ix", "word_ix"]).filter(F.expr("levenshtein(word, expected, get(tolerances, k)) between 0 and get(tolerances, k)"))
     whole = checked.groupBy("doc_id", "unit_ix", "rule_ord", "rule_id", "first", F.size("words").alias("n")).agg(

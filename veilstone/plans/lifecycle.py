@@ -1,8 +1,9 @@
-"""A document's and a prompt's way through the engine, as one lazy plan.
+"""A document's and a prompt's way through the engine.
 
 units -> (rules, patterns, file name, labelled fields, entities) -> merged and numbered
 findings -> decision -> masked units with their spans -> counts and audit summary.
-The masked text and the counts come from one table of spans.
+The findings are stored once, for masking, decisions and audit; the masked text and the
+counts come from one table of spans.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import entities, fields, findings, governance, masking, patterns, rules
+from ..session import stored
 
 
 @dataclass
@@ -53,7 +55,7 @@ def scan(
     every = units.select("doc_id", "unit_ix", "text", *(["allowed"] if "allowed" in units.columns else []))
     if names is not None:
         every = every.unionByName(names, allowMissingColumns=True)
-    return Scan(every, findings.number_placeholders(findings.merge_layers(*layers)), warnings)
+    return Scan(every, stored(findings.number_placeholders(findings.merge_layers(*layers))), warnings)
 
 
 def decide(scanned: Scan, documents: DataFrame) -> DataFrame:

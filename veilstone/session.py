@@ -24,6 +24,11 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     return spark
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once for several uses: a reliable checkpoint where the session has a folder for them, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
