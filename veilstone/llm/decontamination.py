@@ -150,4 +150,6 @@ def keep_rows(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """The contaminated documents, each with the items that it holds (their ids in order, comma-joined)."""
+    told = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return told.filter("contaminated").select("doc_id", "contaminated", "n_items", F.array_join("items", ",").alias("item_ids"), "similarity")
