@@ -70,6 +70,15 @@ def test_entity_and_literal_variants(spark):
     assert masking.mask(units, told).first().masked == "[PERSON_1] met [X]; Adam and [X]"
 
 
+def test_variants_meet_by_their_first_word(spark):
+    """Format characters inside a word, variants of several words, and a variant without any word."""
+    units = spark.createDataFrame([(1, 0, "A\u200bda Love-lace & co"), (1, 1, "Lovelace alone, ada"), (1, 2, "*** stars"), (2, 0, "ada of another document")], "doc_id long, unit_ix int, text string")
+    cols = "doc_id long, layer int, category string, normalized string, variants array<string>, finding_id string, placeholder string"
+    told = spark.createDataFrame([(1, 5, "person", "ada", ["Ada"], "f1", "[P]"), (1, 5, "person", "love lace", ["love lace & CO"], "f2", "[Q]"), (1, 6, "custom", "***", ["***"], "f3", "[S]")], cols)
+    got = {(r.doc_id, r.unit_ix): r.masked for r in masking.mask(units, told).collect()}
+    assert got == {(1, 0): "[P] [Q]", (1, 1): "Lovelace alone, [P]", (1, 2): "[S] stars", (2, 0): "ada of another document"}
+
+
 def test_overlapping_occurrence_after_a_failed_guard():
     text = "xana ana ana"
     folded, where = folding.fold_text(text)

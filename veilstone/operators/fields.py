@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folding
 from ..functions.validators import normalized
+from ..session import broadcast_if
 from .findings import LAYERS
 
 # Captions of public forms, by category.
@@ -67,7 +68,7 @@ def same_line(units: DataFrame, labels: DataFrame) -> DataFrame:
     words = F.split(folding.comparison(F.col("body")), " ")
     ends = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(4))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, F.size(words) - n + 1, n), " ").alias("label")))
     looked = parts.select("doc_id", "unit_ix", "line_ix", "part", F.explode(ends).alias("e")).select("doc_id", "unit_ix", "line_ix", "part", "e.n", "e.label")
-    found = looked.join(F.broadcast(labels), "label").groupBy("doc_id", "unit_ix", "line_ix", "part").agg(F.max_by(F.struct("category", "n"), "n").alias("f"))
+    found = looked.join(broadcast_if(labels), "label").groupBy("doc_id", "unit_ix", "line_ix", "part").agg(F.max_by(F.struct("category", "n"), "n").alias("f"))
     order = W.partitionBy("doc_id", "unit_ix", "line_ix").orderBy("part")
     joined = parts.join(found, ["doc_id", "unit_ix", "line_ix", "part"], "left")
     ahead = joined.withColumn("next_body", F.lead("body").over(order)).withColumn("next_n", F.lead("f.n").over(order)).withColumn("last", F.lead("part").over(order).isNull())
@@ -87,7 +88,7 @@ def neighbours(units: DataFrame, labels: DataFrame) -> DataFrame:
     told = units.select("doc_id", "unit_ix", "text", data.alias("is_data"), F.trim(F.regexp_replace(folding.comparison(F.col("text")), "[:：]", "")).alias("label"))
     told = told.withColumn("n1", F.lead("text", 1).over(order)).withColumn("n2", F.lead("text", 2).over(order)).withColumn("i1", F.lead("unit_ix", 1).over(order)).withColumn("i2", F.lead("unit_ix", 2).over(order))
     over = F.col("n1").rlike(_SEPARATORS)
-    return told.filter("not is_data").join(F.broadcast(labels), "label").select(
+    return told.filter("not is_data").join(broadcast_if(labels), "label").select(
         "doc_id", F.when(over, F.col("i2")).otherwise(F.col("i1")).alias("unit_ix"), "category", F.trim(F.when(over, F.col("n2")).otherwise(F.col("n1"))).alias("value")
     )
 
@@ -97,7 +98,7 @@ def data_cells(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
     A cell is data in a grid wider than three columns, or where the cell below is no label.
     """
-    known = F.broadcast(labels.select(F.col("label").alias("form")).distinct().withColumn("is_label", F.lit(True)))
+    known = broadcast_if(labels.select(F.col("label").alias("form")).distinct().withColumn("is_label", F.lit(True)))
     told = cells.withColumn("form", F.trim(F.regexp_replace(folding.comparison(F.col("text")), "[:：]", ""))).join(known, "form", "left").withColumn("is_label", F.coalesce("is_label", F.lit(False)))
     wide = F.max("column").over(W.partitionBy("doc_id", "grid")) + 1 > 3
     below = W.partitionBy("doc_id", "grid", "column").orderBy("row")
@@ -107,7 +108,7 @@ def data_cells(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 def column_headers(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, unit_ix, category, value of cells below a label, down to the first blank or gap (gaps and islands)."""
-    told = cells.withColumn("label", F.trim(F.regexp_replace(folding.comparison(F.col("text")), "[:：]", ""))).join(F.broadcast(labels), "label", "left")
+    told = cells.withColumn("label", F.trim(F.regexp_replace(folding.comparison(F.col("text")), "[:：]", ""))).join(broadcast_if(labels), "label", "left")
     down = W.partitionBy("doc_id", "grid", "column").orderBy("row")
     stop = F.col("category").isNotNull() | (F.trim(F.coalesce("text", F.lit(""))) == "") | (F.col("row") - F.lag("row").over(down) > 1)
     runs = told.withColumn("run", F.sum(F.when(F.coalesce(stop, F.lit(True)), 1).otherwise(0)).over(down))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if
+
 #: How far left of its label a cell may begin.
 SLACK = 5
 
@@ -80,7 +82,7 @@ def assign_columns(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """
     from ..functions.folding import comparison
 
-    told = cells.withColumn("form", F.trim(F.regexp_replace(comparison(F.col("text")), "[:：]", ""))).join(F.broadcast(labels.withColumnRenamed("label", "form")), "form", "left").drop("form")
+    told = cells.withColumn("form", F.trim(F.regexp_replace(comparison(F.col("text")), "[:：]", ""))).join(broadcast_if(labels.withColumnRenamed("label", "form")), "form", "left").drop("form")
     line = W.partitionBy("doc_id", "page", "line")
     told = told.withColumn("header", F.count("category").over(line) >= 2)
     heads = told.filter("header and category is not null")

@@ -1,9 +1,13 @@
 """Masking: one table of resolved spans gives both the masked text and the counts.
 
-Every unit meets the selected findings of its document (grouped once per document), and
-candidates come from three sources: literals and rules wherever their variants stand
+Candidates come from three sources: literals and rules wherever their variants stand
 (priority 0), patterns found anew whose value is selected (1), and entities and labelled
 fields wherever their variants stand (2). ``resolve`` turns candidates into disjoint spans.
+
+A document can have many units and many findings, so a unit only meets the findings
+that can concern it: patterns by an equi-join of its own matches on the value, variants
+by an equi-join of its words on their first word. Units that nothing concerns pass
+through unchanged, without going to Python.
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold_text, occurrences
+from ..functions.folding import fold, fold_text, occurrences
 from ..functions.validators import RANK
+from ..session import broadcast_if, stored
 from .findings import LAYERS
-from .patterns import detect_text
+from .patterns import detect
 
 
 class Candidate(NamedTuple):
@@ -68,14 +73,9 @@ def resolve(candidates: list[Candidate], cell: int = 32) -> list[Candidate]:
     return out
 
 
-def candidates_of(text: str, allowed: list[str] | None, findings: list[dict]) -> list[Candidate]:
-    by_value = {(f["category"], f["normalized"]): f for f in findings if f["layer"] in (LAYERS["patterns"], LAYERS["filename"])}
-    out = []
-    if by_value:
-        for category, a, b, _, normalized in detect_text(text, allowed):
-            if f := by_value.get((category, normalized)):
-                out.append(Candidate(a, b, 1, RANK[category], f["finding_id"], f["placeholder"]))
-    named = [f for f in findings if f["layer"] in (LAYERS["rules"], LAYERS["literals"], LAYERS["fields"], LAYERS["entities"])]
+def candidates_of(text: str, hits: list[dict], named: list[dict]) -> list[Candidate]:
+    """Candidates from a unit's pattern hits, and from the places of the variants of named findings."""
+    out = [Candidate(h["start"], h["end"], 1, RANK[h["category"]], h["finding_id"], h["placeholder"]) for h in hits]
     if named:
         folded, where = fold_text(text)
         for f in named:
@@ -93,30 +93,49 @@ def replaced(text: str, spans: list[Candidate]) -> str:
     return "".join([*out, text[at:]])
 
 
-SPANS = "doc_id long, unit_ix int, masked string, spans array<struct<start:int,end:int,finding_id:string,label:string>>"
+SPAN = "array<struct<start:int,end:int,finding_id:string,label:string>>"
+NAMED = "array<struct<layer:int,category:string,finding_id:string,placeholder:string,variants:array<string>>>"
+_FOLDED_WORDS = r"[\p{L}\p{N}]+"
 
 
-def mask(units: DataFrame, findings: DataFrame) -> DataFrame:
-    """doc_id, unit_ix, masked, spans of every unit; findings are the selected ones, numbered.
+def _concerned(units: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, unit_ix, hits, named: for each unit that some finding can concern, its pattern hits and those findings."""
+    by_value = F.col("layer").isin(LAYERS["patterns"], LAYERS["filename"])
+    hit = detect(units).join(findings.filter(by_value).select("doc_id", "category", "normalized", "finding_id", "placeholder"), ["doc_id", "category", "normalized"])
+    finding = F.struct("layer", "category", "finding_id", "placeholder", "variants")
+    first = F.regexp_extract(fold(F.col("variant")), r"[\p{L}\p{N}]+", 0)
+    needles = findings.filter(~by_value).select("doc_id", finding.alias("finding"), F.explode("variants").alias("variant")).select("doc_id", "finding", first.alias("word")).distinct()
+    span = F.struct("start", "end", "category", "finding_id", "placeholder")
+    spans = hit.select("doc_id", "unit_ix", span.alias("hit"))
+    needles = stored(needles)
+    if not needles.limit(1).count():
+        return spans.groupBy("doc_id", "unit_ix").agg(F.collect_list("hit").alias("hits"), F.array().cast(NAMED).alias("named"))
+    words = units.filter("text is not null").select("doc_id", "unit_ix", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(_FOLDED_WORDS), F.lit(0)))).alias("word"))
+    by_word = words.join(broadcast_if(needles.filter("word <> ''")), ["doc_id", "word"]).select("doc_id", "unit_ix", "finding").distinct()
+    # a variant without a letter or digit has no word to meet by
+    wordless = units.select("doc_id", "unit_ix").join(needles.filter("word = ''"), "doc_id").select("doc_id", "unit_ix", "finding")
+    every = spans.unionByName(by_word.union(wordless).distinct(), allowMissingColumns=True)
+    return every.groupBy("doc_id", "unit_ix").agg(F.collect_list("hit").alias("hits"), F.collect_list("finding").alias("named"))
 
-    A document without selected findings passes unchanged, without going to Python.
-    """
-    per = findings.groupBy("doc_id").agg(F.collect_list(F.struct("layer", "category", "normalized", "finding_id", "placeholder", "variants")).alias("found"))
-    allowed = F.col("allowed") if "allowed" in units.columns else F.lit(None).cast("array<string>")
-    joined = units.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("unit_ix").cast("int").alias("unit_ix"), "text", allowed.alias("allowed")).join(per, "doc_id", "left")
-    untouched = joined.filter("found is null or text is null").select("doc_id", "unit_ix", F.col("text").alias("masked"), F.array().cast("array<struct<start:int,end:int,finding_id:string,label:string>>").alias("spans"))
+
+def mask(units: DataFrame, findings: DataFrame) -> DataFrame:
+    """doc_id, unit_ix, masked, spans of every unit(doc_id, unit_ix, text[, allowed]); findings are the selected ones, numbered."""
+    kept = ["allowed"] if "allowed" in units.columns else []
+    units = units.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("unit_ix").cast("int").alias("unit_ix"), "text", *kept)
+    joined = units.drop("allowed").join(_concerned(units, findings), ["doc_id", "unit_ix"], "left")
+    untouched = joined.filter("hits is null").select("doc_id", "unit_ix", F.col("text").alias("masked"), F.array().cast(SPAN).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("finding_id", pa.string()), ("label", pa.string())])
         for batch in batches:
             masked, spans = [], []
-            for text, allow, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                own = resolve(candidates_of(text, allow, found))
+            for text, hits, named in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                own = resolve(candidates_of(text, hits, named))
                 masked.append(replaced(text, own))
                 spans.append([{"start": s.start, "end": s.end, "finding_id": s.finding_id, "label": s.label} for s in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masked, pa.string()), pa.array(spans, pa.list_(span))], names=["doc_id", "unit_ix", "masked", "spans"])
 
-    return joined.filter("found is not null and text is not null").mapInArrow(run, SPANS).union(untouched)
+    return joined.filter("hits is not null").mapInArrow(run, f"doc_id long, unit_ix int, masked string, spans {SPAN}").union(untouched)
 
 
 def counts(masked: DataFrame) -> DataFrame:

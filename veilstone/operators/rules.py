@@ -17,17 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import folding
-from ..session import stored
+from ..session import broadcast_if, stored
 from .findings import LAYERS
 
-#: Rule tables of up to so many variants are broadcast; longer ones are shuffled.
-BROADCAST_ROWS = 500_000
-
-
-def broadcast_if(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast when a count shows that it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """rules(rule_ord, rule_id, find, replacement, exact) trimmed, with ``problem`` (null: good); blank rules are dropped."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,6 +29,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
 
 
+#: Tables of up to so many counted rows are broadcast; longer ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a table for broadcast when a count shows that it has at most so many rows."""
+    return functions.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
