@@ -10,12 +10,12 @@ and there are as many keys as let a pair meet nowhere with probability ``MISS``
 k grows with the logarithm of the number of texts, so that strangers seldom meet.
 
 Rows are sorted by key. Under each key a scan keeps up to ``LEADERS`` texts that no
-earlier one stands close to (``CLOSE`` of 64 bits, what texts at the least similarity
+earlier one stands close to (``CLOSE`` of 128 bits, what texts at the least similarity
 differ by). A text becomes a candidate pair with one leader: the first one close to it,
-which is the same in most keys of a large group, else the nearest within ``NEAR_64``. It is
+which is the same in most keys of a large group, else the nearest within ``NEAR_128``. It is
 never paired with all members of a group, so a group that fills a third of the table costs
-as much as any other rows. Pairs within ``NEAR_256`` of 256 bits are verified by the
-exact Jaccard similarity of their shingle sets, and verified links become components.
+as much as any other rows. Pairs are verified by the exact Jaccard similarity of their shingle
+sets, and verified links become components.
 
 Defined results: a null text counts as empty; texts without words are all alike; fewer
 words than a shingle give one shingle; equal texts are one node; the row with the least
@@ -38,7 +38,7 @@ from .components import components
 from .simhash_dedup import hashes
 
 WORDS, SIMILARITY, MISS = 5, 0.8, 0.002
-CLOSE, NEAR_64, NEAR_256, LEADERS = 10, 20, 62, 16
+CLOSE, NEAR_128, LEADERS = 19, 37, 16
 BROADCAST_ROWS = 500_000
 _WORD = 0xFFFFFFFFFFFFFFFF
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -86,22 +86,22 @@ def _candidates(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
         for batch in batches:
             words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]).astype(np.int64)
             held = np.unpackbits(words.view(np.uint8).reshape(-1, 32), axis=1)
-            tags, first = batch.column(0), pa.array(words[:, 0])
+            tags, first, second = batch.column(0), pa.array(words[:, 0]), pa.array(words[:, 1])
             for t, places in enumerate(chosen):
                 key = (held[:, places].astype(np.int64) @ powers) + (t << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(key), tags, first], names=["key", "tag", "f0"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), tags, first, second], names=["key", "tag", "f0", "f1"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leaders = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, tag, bits64 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            key, tag, high, low = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             same = key[1:] == key[:-1]
             busy = np.concatenate([[True], same]) | np.concatenate([same, [True]])  # alone under its key: nothing to do
             u, v = [], []
             for i in np.flatnonzero(busy):
-                k, mine, f = int(key[i]), int(tag[i]), int(bits64[i]) & _WORD
+                k, mine, f = int(key[i]), int(tag[i]), (int(high[i]) & _WORD) << 64 | int(low[i]) & _WORD
                 if k != last:
                     last, leaders = k, []
                 apart, nearest = 256, 0
@@ -110,7 +110,7 @@ def _candidates(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                         apart, nearest = d, t
                         if d <= CLOSE:
                             break
-                if apart <= NEAR_64:
+                if apart <= NEAR_128:
                     u.append(mine)
                     v.append(nearest)
                 if apart > CLOSE:
@@ -119,7 +119,7 @@ def _candidates(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
                         leaders.pop(0)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    spread = nodes.select("tag", "f0", "f1", "f2", "f3").mapInArrow(keys, "key long, tag long, f0 long")
+    spread = nodes.select("tag", "f0", "f1", "f2", "f3").mapInArrow(keys, "key long, tag long, f0 long, f1 long")
     met = spread.repartitionByRange("key", "tag").sortWithinPartitions("key", "tag").mapInArrow(scan, "u long, v long")
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
@@ -129,11 +129,7 @@ def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: flo
     nodes = work.written(found.dropDuplicates(["tag"]).drop("doc"), "text-nodes")
     bits, tables = key_shape(nodes.count(), similarity)
     pairs = work.written(_candidates(nodes, bits, tables), "candidate-pairs")
-    words4 = [f"f{i}" for i in range(4)]
-    near = pairs.join(nodes.select(F.col("tag").alias("u"), *[F.col(w).alias(f"u{w}") for w in words4]), "u").join(nodes.withColumnRenamed("tag", "v"), "v")
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"u{w}"))) for w in words4), F.lit(0))
-    near = work.written(near.filter(apart <= NEAR_256).select("u", "v"), "near-pairs")
-    wanted = work.written(near.select(F.col("u").alias("tag")).union(near.select("v")).distinct(), "near-nodes")
+    wanted = work.written(pairs.select(F.col("u").alias("tag")).union(pairs.select("v")).distinct(), "near-nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +139,7 @@ def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: flo
     texts = docs.select("tag", "text").join(work.broadcast_if(wanted, BROADCAST_ROWS), "tag")
     held = texts.mapInArrow(sets, "tag long, h array<long>").dropDuplicates(["tag"])
     held = work.written(held, "shingle-sets")  # read back, each join's sides are plain exchanges, which Spark can split
-    both = near.join(held.select(F.col("tag").alias("u"), F.col("h").alias("a")), "u").join(held.select(F.col("tag").alias("v"), F.col("h").alias("b")), "v")
+    both = pairs.join(held.select(F.col("tag").alias("u"), F.col("h").alias("a")), "u").join(held.select(F.col("tag").alias("v"), F.col("h").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter((F.size("a") + F.size("b") == 0) | (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v")
 
