@@ -47,30 +47,13 @@ def rule_index(rules: DataFrame) -> DataFrame:
 
 
 def unit_words(units: DataFrame) -> DataFrame:
-    """doc_id, unit_ix, word_ix, raw, start, word: every word of every unit with its place and folded form.
+    """doc_id, unit_ix, word_ix, start, raw, word: every word of every unit with its place and folded form.
 
-    The places come from the lengths of the pieces between words, so no Python is needed.
+    A text is split at marks put around its words; the places are a running sum of the pieces' lengths.
     """
     mark = "\x01"
     clean = F.translate(F.col("text"), "\x01\x02", "  ")
     pieces = F.split(F.regexp_replace(clean, r"([\p{L}\p{N}]+)", f"{mark}$1{mark}"), mark)
-    places = F.aggregate(
-        F.col("pieces"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("found"), F.lit(False).alias("odd")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            F.when(s["odd"], F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), p.alias("raw"))))).otherwise(s["found"]).alias("found"),
-            (~s["odd"]).alias("odd"),
-        ),
-    )
-    cut = units.filter("text is not null").select("doc_id", "unit_ix", pieces.alias("pieces")).select("doc_id", "unit_ix", F.posexplode(places["found"]).alias("word_ix", "w"))
-    return cut.select("doc_id", "unit_ix", "word_ix", "w.start", "w.raw", folding.comparison(F.col("w.raw")).alias("word"))
-
-
-def unit_words_long(units: DataFrame) -> DataFrame:
-    """``unit_words`` for long texts: the places come from a running sum over exploded pieces, not from a growing array."""
-    mark = "\x01"
-    clean = F.translate(F.col("text"), "\x01\x02", "  ")
-    pieces = F.split(F.regexp_replace(clean, r"([\p{L}\p{N}]+)", f"{mark}$1{mark}"), mark)
     cut = units.filter("text is not null").select("doc_id", "unit_ix", F.posexplode(pieces).alias("p", "raw"))
     start = F.coalesce(F.sum(F.length("raw")).over(W.partitionBy("doc_id", "unit_ix").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     placed = cut.withColumn("start", start).filter("p % 2 = 1")
@@ -95,7 +78,7 @@ def match_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
     near = hits.filter(F.expr("levenshtein(word, get(words, anchor), get(tolerances, anchor)) between 0 and get(tolerances, anchor)"))
     near = stored(near)  # a few of the distinct words; used twice
     likely = held.join(broadcast_if(near.select("word").distinct()), "word", "left_semi").select("doc_id", "unit_ix").distinct()
-    words = unit_words_long(units.join(likely, ["doc_id", "unit_ix"], "left_semi"))
+    words = unit_words(units.join(likely, ["doc_id", "unit_ix"], "left_semi"))
     anchored = words.join(broadcast_if(near), "word").select("doc_id", "unit_ix", "rule_ord", "rule_id", "words", "tolerances", (F.col("word_ix") - F.col("anchor")).alias("first")).filter("first >= 0").distinct()
     each = anchored.select("*", F.posexplode("words").alias("k", "expected")).withColumn("word_ix", F.col("first") + F.col("k"))
     checked = each.join(words, ["doc_id", "unit_ix", "word_ix"]).filter(F.expr("levenshtein(word, expected, get(tolerances, k)) between 0 and get(tolerances, k)"))

@@ -403,7 +403,7 @@ def q_chunk_transport(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS raw, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), 1) AS i FROM documents)
 SELECT doc_id, (count(*))::BIGINT AS words, sum(len(raw))::BIGINT AS letters, max(i)::INT - 1 AS last_word FROM w GROUP BY doc_id""")
 def q_unit_words(spark, sf_dir):
-    words = rules.unit_words_long(document_units(spark, sf_dir))
+    words = rules.unit_words(document_units(spark, sf_dir))
     return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("raw")).cast("long").alias("letters"), F.max("word_ix").alias("last_word"))
 
 
