@@ -46,6 +46,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def forget(self) -> None:
+        """Takes the table out of the catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def new_groups(self, batch: DataFrame) -> DataFrame:
         """One row for each digest of batch(digest, doc) that the index lacks."""
         # written, because the optimizer would move the anti-join below the aggregation, where a repeated text still has all its rows
@@ -91,11 +95,18 @@ def ingest(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
     return digests.join(groups, "digest").withColumn("kept", F.col("doc") == F.col("keep_id"))
 
 
+def _decisions(docs: DataFrame, index_path: str | None) -> DataFrame:
+    """``ingest`` into the index at the path, or into one of its own that leaves the catalogue afterwards."""
+    index = DigestIndex(docs.sparkSession, index_path or work.fresh_path(docs.sparkSession, "digest-index"))
+    decided = ingest(docs, index)  # reads written tables only, not the index
+    if index_path is None:
+        index.forget()
+    return decided
+
+
 def exact_duplicates(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
-    spark = docs.sparkSession
-    index = DigestIndex(spark, index_path or work.fresh_path(spark, "digest-index"))
-    return ingest(docs, index).select(
+    return _decisions(docs, index_path).select(
         work.id_or_null("doc").alias("doc_id"),
         work.id_or_null("keep_id").alias("keep_id"),
         "group_size",
@@ -106,9 +117,7 @@ def exact_duplicates(docs: DataFrame, index_path: str | None = None) -> DataFram
 
 def keep_rows(docs: DataFrame, index_path: str | None = None) -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
-    spark = docs.sparkSession
-    index = DigestIndex(spark, index_path or work.fresh_path(spark, "digest-index"))
-    decided = work.written(ingest(docs, index), "decisions")
+    decided = work.written(_decisions(docs, index_path), "decisions")
     dropped = work.written(decided.filter(~F.col("kept")).select("doc", "digest").distinct(), "dropped")
     kept = work.without(docs, {"doc": work.id_or_least(), "digest": text_digest()}, dropped)
     repeated = decided.filter("kept").groupBy("digest").count().filter("count > 1").limit(1).count()
