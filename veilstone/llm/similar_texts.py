@@ -12,8 +12,8 @@ k grows with the logarithm of the number of texts, so that strangers seldom meet
 Rows are sorted by key. Under each key a scan keeps up to ``LEADERS`` texts that no
 earlier one stands close to (``CLOSE`` of 128 bits, what texts at the least similarity
 differ by). A text becomes a candidate pair with one leader: the first one close to it,
-which is the same in most keys of a large group, else the nearest within ``NEAR_128``. It is
-never paired with all members of a group, so a group that fills a third of the table costs
+which is the same in most keys of a large group, else the nearest within ``NEAR_128``
+(three deviations above what texts at the least similarity differ by). It is never paired with all members of a group, so a group that fills a third of the table costs
 as much as any other rows. Pairs are verified by the exact Jaccard similarity of their shingle
 sets, and verified links become components.
 
@@ -38,7 +38,7 @@ from .components import components
 from .simhash_dedup import hashes
 
 WORDS, SIMILARITY, MISS = 5, 0.8, 0.002
-CLOSE, NEAR_128, LEADERS = 19, 37, 16
+CLOSE, NEAR_128, LEADERS = 19, 31, 16
 BROADCAST_ROWS = 500_000
 _WORD = 0xFFFFFFFFFFFFFFFF
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
