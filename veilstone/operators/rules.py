@@ -4,7 +4,9 @@ A rule's words are looked up by deletion variants: two words within k edits shar
 that at most k deletions make of either. The rule table holds, for each rule, the variants
 of its longest word (the anchor); document words join on their own variants, the anchor and
 then every other word, at its place beside the anchor, is verified by bounded edit distance.
-Distinct words are varied once each, not once for every place where they stand.
+Only the first ``HEAD`` letters are varied: edits behind them don't matter to their variants,
+and an edit in them costs each side one deletion at most, so no match is lost. Distinct heads
+are varied once each, not once for every word or place where they stand.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from ..functions import folding
 from ..session import broadcast_if, stored
 from .findings import LAYERS
 
+#: Letters of a word that deletion variants are made of.
+HEAD = 7
+
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """rules(rule_ord, rule_id, find, replacement, exact) trimmed, with ``problem`` (null: good); blank rules are dropped."""
@@ -43,7 +48,8 @@ def rule_index(rules: DataFrame) -> DataFrame:
     longest = F.expr("array_max(transform(words, w -> length(w)))")
     held = held.withColumn("anchor", (F.array_position(F.expr("transform(words, w -> length(w))"), longest) - 1).cast("int"))
     held = held.withColumn("tolerances", F.expr("transform(words, w -> CASE WHEN exact THEN 0 WHEN length(w) < 5 THEN 0 WHEN length(w) < 8 THEN 1 ELSE 2 END)"))
-    return held.withColumn("variant", F.explode(folding.deletion_variants(F.get("words", F.col("anchor")), F.get("tolerances", F.col("anchor")))))
+    head = F.substring(F.get("words", F.col("anchor")), 1, HEAD)
+    return held.withColumn("variant", F.explode(folding.deletion_variants(head, F.get("tolerances", F.col("anchor")))))
 
 
 def unit_words(units: DataFrame) -> DataFrame:
@@ -68,16 +74,19 @@ def match_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
     """
     index = broadcast_if(rule_index(rules))
     held = units.filter("text is not null").select("doc_id", "unit_ix", F.explode(F.array_distinct(folding.tokens(F.col("text")))).alias("raw"))
-    held = held.select("doc_id", "unit_ix", folding.comparison(F.col("raw")).alias("word"))
+    vocabulary = held.select("raw").distinct().withColumn("word", folding.comparison(F.col("raw")))  # folded once for each distinct word
     # a word can only match an anchor of about its length, and needs no more deletions than that anchor's tolerance
     edits, size = F.get("tolerances", F.col("anchor")), F.length(F.get("words", F.col("anchor")))
     lengths = index.select(F.explode(F.sequence(F.greatest(size - edits, F.lit(1)), size + edits)).alias("length"), edits.alias("edits")).groupBy("length").agg(F.max("edits").alias("edits"))
-    sized = held.select("word", F.length("word").alias("length")).distinct().join(broadcast_if(lengths), "length")
-    vary = sized.select("word", F.explode(folding.deletion_variants(F.col("word"), F.col("edits"))).alias("variant"))
-    hits = vary.join(index, "variant").select("word", "rule_ord", "rule_id", "words", "tolerances", "anchor").distinct()
+    sized = vocabulary.select("word", F.substring("word", 1, HEAD).alias("head"), F.length("word").alias("length")).distinct().join(broadcast_if(lengths), "length")
+    heads = sized.groupBy("head").agg(F.max("edits").alias("edits"))
+    vary = heads.select("head", F.explode(folding.deletion_variants(F.col("head"), F.col("edits"))).alias("variant"))
+    rules_of = vary.join(index, "variant").select("head", "rule_ord", "rule_id", "words", "tolerances", "anchor").distinct()
+    hits = sized.select("word", "head").join(rules_of, "head").drop("head")
     near = hits.filter(F.expr("levenshtein(word, get(words, anchor), get(tolerances, anchor)) between 0 and get(tolerances, anchor)"))
     near = stored(near)  # a few of the distinct words; used twice
-    likely = held.join(broadcast_if(near.select("word").distinct()), "word", "left_semi").select("doc_id", "unit_ix").distinct()
+    spelled = stored(vocabulary.join(broadcast_if(near.select("word").distinct()), "word", "left_semi").select("raw"))
+    likely = held.join(broadcast_if(spelled), "raw", "left_semi").select("doc_id", "unit_ix").distinct()
     words = unit_words(units.join(likely, ["doc_id", "unit_ix"], "left_semi"))
     anchored = words.join(broadcast_if(near), "word").select("doc_id", "unit_ix", "rule_ord", "rule_id", "words", "tolerances", (F.col("word_ix") - F.col("anchor")).alias("first")).filter("first >= 0").distinct()
     each = anchored.select("*", F.posexplode("words").alias("k", "expected")).withColumn("word_ix", F.col("first") + F.col("k"))
