@@ -105,3 +105,21 @@ def test_similar_texts(spark, docs_of):
     assert kept.columns == docs.columns
     assert sorted(x.doc_id if x.doc_id is not None else s.work.NO_ID for x in kept.collect()) == sorted(set(got.values()))
     assert similar_texts.keep_rows(docs_of([])).count() == 0
+
+
+def edited(r, words, runs):
+    """words with so many single words replaced by new ones, six or more apart."""
+    own, step = list(words), len(words) // runs
+    for k in range(runs):
+        own[k * step + r.randrange(max(1, step - 5))] = f"n{r.getrandbits(48):x}"
+    return " ".join(own)
+
+
+def test_edits_of_one_base(spark, docs_of):
+    """Each edit is similar to the base (0.82) and to no other edit (0.67): only the base holds them together."""
+    r = random.Random(8)
+    base = [f"b{r.getrandbits(40):x}" for _ in range(400)]
+    rows = [(i, edited(r, base, 8)) for i in range(2_000)] + [(2_000, " ".join(base))]
+    got = similar_texts.groups(docs_of(rows, extra=False)).collect()
+    assert len(got) == len(rows)
+    assert {x.keep_doc for x in got} == {0}

@@ -1,21 +1,22 @@
-"""Near-dedup of texts by shingle similarity, on wide SimHashes.
-
-The operator of ``simhash_dedup`` links fingerprints within two bits. Texts that share
-0.8 of their five-word shingles differ in about 15 % of a fingerprint's bits, a radius
-at which distances to pivots discard nothing. So here the pivot table is sampled
-instead: the distances to a base reference and to the base with one bit flipped differ
-by that bit, and a key is a random choice of such coordinates. Two texts at the least
-similarity share a given key of k coordinates with probability p**k, p = 1 - arccos(c) / pi,
-and there are as many keys as let a pair meet nowhere with probability ``MISS`` at most;
-k grows with the logarithm of the number of texts, so that strangers seldom meet.
-
-Rows are sorted by key. Under each key a scan keeps up to ``LEADERS`` texts that no
-earlier one stands close to (``CLOSE`` of 128 bits, what texts at the least similarity
-differ by). A text becomes a candidate pair with one leader: the first one close to it,
-which is the same in most keys of a large group, else the nearest within ``NEAR_128``
-(three deviations above what texts at the least similarity differ by). It is never paired with all members of a group, so a group that fills a third of the table costs
-as much as any other rows. Pairs are verified by the exact Jaccard similarity of their shingle
-sets, and verified links become components.
+"""Near-dedup of texts by shingle similarity, by an exact prefix-filter join.
+
+Two texts link where their sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. The shingles of all texts stand in one order: those that a sample of the rows holds
+often come last, the others by their hash. Of n shingles, texts that link share one among
+each other's first n - ceil(0.8 n) + 1; these are the keys under which texts meet. Any
+order gives the same links; the sample only keeps what many texts share out of the keys.
+
+1. Leaders: under each key that many texts hold, all are compared with one leader, the text
+   with the fewest shingles of its own. A large group mostly becomes one component by that,
+   at a cost linear in its size. Two more such rounds, with other leaders, take the keys
+   where many texts of several components still meet.
+2. The rest: under each key with texts of several components, every text is paired with
+   every one of another component, unless sizes and places in the order rule the
+   similarity out. Large keys are cut into blocks, and each block meets each other.
+
+Pairs are verified by the exact similarity, and verified links become components. Only
+pairs within a component are left out, so the components are those of all links. Where
+many texts share keys and don't link, the second step grows with the square of their number.
 
 Defined results: a null text counts as empty; texts without words are all alike; fewer
 words than a shingle give one shingle; equal texts are one node; the row with the least
@@ -37,11 +38,12 @@ from . import work
 from .components import components
 from .simhash_dedup import hashes
 
-WORDS, SIMILARITY, MISS = 5, 0.8, 0.002
-CLOSE, NEAR_128, LEADERS = 19, 31, 16
+WORDS, SIMILARITY = 5, 0.8
+#: Rows in the sample that tells what is common, and the most keys that a leader round takes. They bear on the cost only.
+SAMPLE, MOST_LED = 5_000, 100_000
+#: Keys of more texts than this go through leader rounds; keys of more than BLOCK texts are cut into blocks.
+MANY, BLOCK, ROUNDS = 64, 1_000, 3
 BROADCAST_ROWS = 500_000
-_WORD = 0xFFFFFFFFFFFFFFFF
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -49,86 +51,141 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(hashes(text, words).reshape(-1).view(">u8").astype(np.uint64))
 
 
-def wide_fingerprint(found: np.ndarray) -> np.ndarray:
-    """256 bits as four words: each hash is mixed in four ways, and a bit is set where over half have it."""
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(found), 1 << 14):
-        z = found[at : at + (1 << 14), None] ^ _MIX[None, :]
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(found)).view(np.int64)
+def _places(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands in sorted_keys, and whether it does."""
+    if not len(sorted_keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == x
 
 
-def key_shape(texts: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
-    """Coordinates in a key, and how many keys, for so many texts."""
-    bits = max(12, math.ceil(math.log2(max(texts, 1))))
-    p = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return bits, math.ceil(math.log(miss) / math.log1p(-(p**bits)))
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles in the common order that a similar text can't all lack; how many shingles are not common."""
+    found = found.view(np.int64)
+    if not len(found):
+        return np.zeros(1, np.int64), 0
+    at, there = _places(common, found)
+    often = np.where(there, counts[at], 0) if len(common) else np.zeros(len(found), np.int64)
+    return found[np.lexsort((found, often))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1], int((~there).sum())
 
 
-def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several rows of a sample hold, in order, and how many hold them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(shingle_set(t, words)) for t in batch.column(2).to_pylist()], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(4))], names=["doc", "tag", "f0", "f1", "f2", "f3"])
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["x"])
 
-    return work.written(docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, f0 long, f1 long, f2 long, f3 long"), "wide-fingerprints")
+    step = max(1, docs.count() // SAMPLE)
+    held = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0).select("text").mapInArrow(run, "x long")
+    told = held.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3").orderBy(F.desc("c"), "x").limit(MOST_LED).toArrow()
+    x, c = (told.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(x)
+    return x[order], c[order]
 
 
-def _candidates(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """u, v: pairs of nodes(tag, f0..f3) that meet under a key."""
-    chosen = np.array([np.random.default_rng(t).choice(256, bits, replace=False) for t in range(tables)])
-    powers = 1 << np.arange(bits, dtype=np.int64)
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, np.ndarray]:
+    """doc, tag, n (shingles), own (those not common), p (first shingles in the common order); the common shingles."""
+    common, counts = _common(docs, words)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]).astype(np.int64)
-            held = np.unpackbits(words.view(np.uint8).reshape(-1, 32), axis=1)
-            tags, first, second = batch.column(0), pa.array(words[:, 0]), pa.array(words[:, 1])
-            for t, places in enumerate(chosen):
-                key = (held[:, places].astype(np.int64) @ powers) + (t << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(key), tags, first, second], names=["key", "tag", "f0", "f1"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
+            sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
+            told = [prefix(x, common, counts, similarity) for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([own for _, own in told], pa.int64()), pa.array([p for p, _ in told], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "tag", "n", "own", "p"])
+
+    return work.written(docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, own long, p array<long>"), "prefixes"), common
+
+
+def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the row of each."""
+    lists = batch.column(column)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _led(nodes: DataFrame, keys: np.ndarray, turn: int, similarity: float) -> DataFrame:
+    """u, v: each node with the leaders of those of its keys that are among the given (in order), where they are of another component."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, tag, high, low = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            same = key[1:] == key[:-1]
-            busy = np.concatenate([[True], same]) | np.concatenate([same, [True]])  # alone under its key: nothing to do
-            u, v = [], []
-            for i in np.flatnonzero(busy):
-                k, mine, f = int(key[i]), int(tag[i]), (int(high[i]) & _WORD) << 64 | int(low[i]) & _WORD
-                if k != last:
-                    last, leaders = k, []
-                apart, nearest = 256, 0
-                for t, g in leaders:
-                    if (d := (f ^ g).bit_count()) < apart:
-                        apart, nearest = d, t
-                        if d <= CLOSE:
-                            break
-                if apart <= NEAR_128:
-                    u.append(mine)
-                    v.append(nearest)
-                if apart > CLOSE:
-                    leaders.append((mine, f))
-                    if len(leaders) > LEADERS:
-                        leaders.pop(0)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    spread = nodes.select("tag", "f0", "f1", "f2", "f3").mapInArrow(keys, "key long, tag long, f0 long, f1 long")
-    met = spread.repartitionByRange("key", "tag").sortWithinPartitions("key", "tag").mapInArrow(scan, "u long, v long")
-    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-
-
-def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
-    """u, v: verified links between tags of docs(doc, tag, text), given its fingerprints."""
-    nodes = work.written(found.dropDuplicates(["tag"]).drop("doc"), "text-nodes")
-    bits, tables = key_shape(nodes.count(), similarity)
-    pairs = work.written(_candidates(nodes, bits, tables), "candidate-pairs")
+            tag, n, own, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            key, row = _flat(batch, 4)
+            here = _places(keys, key)[1]
+            first = own if not turn else (tag ^ np.int64(turn * 0x9E3779B97F4A7C1)) * np.int64(0x2545F4914F6CDD1D)  # from the second turn on, by lot
+            key, row = key[here], row[here]
+            order = np.lexsort((tag[row], first[row], key))
+            key, row = key[order], row[order]
+            for i in np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else ():
+                mine = (int(first[row[i]]), int(tag[row[i]]), int(n[row[i]]), int(label[row[i]]))
+                k = int(key[i])
+                if k not in best or mine < best[k]:
+                    best[k] = mine
+        rows = [(k, *x) for k, x in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["key", "first", "tag", "n", "label"])
+
+    shape = nodes.select("tag", "n", "own", "label", "p")
+    told = shape.mapInArrow(firsts, "key long, first long, tag long, n long, label long").groupBy("key").agg(F.min(F.struct("first", "tag", "n", "label")).alias("o"))
+    told = told.select("key", "o.tag", "o.n", "o.label").toArrow()
+    led, lead, size, group = (told.column(i).to_numpy().astype(np.int64) for i in range(4))
+    order = np.argsort(led)
+    led, lead, size, group = led[order], lead[order], size[order], group[order]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tag, n, _, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            key, row = _flat(batch, 4)
+            at, there = _places(led, key)
+            at, row = at[there], row[there]
+            fit = (group[at] != label[row]) & (np.minimum(size[at], n[row]) >= similarity * np.maximum(size[at], n[row]) - 1e-9) if len(at) else np.zeros(0, bool)
+            pairs = np.unique(np.column_stack([tag[row[fit]], lead[at[fit]]]), axis=0) if fit.any() else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    met = shape.mapInArrow(meet, "u long, v long")
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _open_keys(nodes: DataFrame) -> DataFrame:
+    """key, c: keys under which nodes of several components meet, and how many nodes; written."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column(0).to_numpy(zero_copy_only=False)
+            key, row = _flat(batch, 1)
+            order = np.argsort(key, kind="stable")
+            key, label = key[order], label[row[order]]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            c = np.diff(np.append(at, len(key)))
+            lo, hi = (f.reduceat(label, at) if len(at) else label[:0] for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(c.astype(np.int64)), pa.array(lo), pa.array(hi)], names=["key", "c", "lo", "hi"])
+
+    told = nodes.select("label", "p").mapInArrow(sums, "key long, c long, lo long, hi long")
+    told = told.groupBy("key").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return work.written(told.filter("lo <> hi").select("key", "c"), "open-keys")
+
+
+def _rest(nodes: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """u, v: all pairs of nodes of different components that meet under a key and can be similar."""
+    rows = nodes.select("tag", "n", "label", F.posexplode("p").alias("at", "key")).join(work.broadcast_if(keys, BROADCAST_ROWS), "key")
+    rows = work.written(rows, "open-rows")
+    # the largest component of a key needs no look within itself
+    most = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
+    most = work.written(most.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.min("least").alias("least")).select("key", F.col("most.label").alias("most"), "least"), "key-components")
+    share = similarity / (1 + similarity)  # of both sizes together, what similar texts have in common at least
+    rows = rows.join(work.broadcast_if(most, BROADCAST_ROWS), "key").filter(F.col("n") - F.col("at") >= share * (F.col("n") + F.col("least")) - 1e-9)
+    blocks = F.ceil(F.col("c") / BLOCK).cast("long")
+    mine, every = F.pmod("tag", blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    left = rows.filter("label <> most").select("key", mine.alias("a"), every.alias("b"), *[F.col(x).alias(f"{x}_u") for x in ("tag", "n", "at", "label")])
+    right = rows.select("key", every.alias("a"), mine.alias("b"), "most", *[F.col(x).alias(f"{x}_v") for x in ("tag", "n", "at", "label")])
+    met = left.join(right, ["key", "a", "b"]).filter("label_u <> label_v and (label_v = most or tag_u < tag_v)")
+    met = met.filter(F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= share * (F.col("n_u") + F.col("n_v")) - 1e-9)
+    return met.select(F.greatest("tag_u", "tag_v").alias("u"), F.least("tag_u", "tag_v").alias("v")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the written pairs that are similar; written."""
     wanted = work.written(pairs.select(F.col("u").alias("tag")).union(pairs.select("v")).distinct(), "near-nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +198,34 @@ def similar_links(docs: DataFrame, found: DataFrame, words: int, similarity: flo
     held = work.written(held, "shingle-sets")  # read back, each join's sides are plain exchanges, which Spark can split
     both = pairs.join(held.select(F.col("tag").alias("u"), F.col("h").alias("a")), "u").join(held.select(F.col("tag").alias("v"), F.col("h").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.filter((F.size("a") + F.size("b") == 0) | (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v")
+    return work.written(both.filter((F.size("a") + F.size("b") == 0) | (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v"), "similar-links")
+
+
+def similar_components(docs: DataFrame, found: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """node, root for the tags of docs(doc, tag, text) that have links, given their prefixes."""
+    nodes = work.written(found.dropDuplicates(["tag"]).drop("doc"), "text-nodes")
+    labelled, keys, seen, links, roots = nodes.withColumn("label", F.col("tag")), common, None, None, None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS and len(keys):
+            pairs = _led(labelled, keys, turn, similarity)
+        elif turn:
+            pairs = _rest(labelled, open_keys, similarity)
+        else:
+            pairs = None
+        if pairs is not None:
+            pairs = work.written(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), "candidate-pairs")
+            seen = pairs if seen is None else seen.union(pairs)
+            new = _verified(docs, pairs, words, similarity)
+            links = new if links is None else links.union(new)
+            roots = components(links)
+            if turn == ROUNDS or turn and not len(keys):
+                return roots
+            told = nodes.join(work.broadcast_if(roots.withColumnRenamed("node", "tag"), BROADCAST_ROWS), "tag", "left")
+            labelled = work.written(told.withColumn("label", F.coalesce("root", "tag")).drop("root"), "labelled-nodes")
+        open_keys = _open_keys(labelled)
+        many = open_keys.filter(F.col("c") > MANY).orderBy(F.desc("c"), "key").limit(MOST_LED).select("key").toArrow()
+        keys = np.sort(many.column(0).to_numpy().astype(np.int64))
+    return roots
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -149,8 +233,8 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     work.small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     mine = docs.select(work.id_or_least().alias("doc"), F.xxhash64(text, F.length(text)).alias("tag"), text.alias("text"))
-    found = _fingerprints(mine, words)
-    roots = components(similar_links(mine, found, words, similarity))
+    found, common = _prefixes(mine, words, similarity)
+    roots = similar_components(mine, found, common, words, similarity)
     rooted = found.select("doc", "tag").join(roots.withColumnRenamed("node", "tag"), "tag", "left")
     rooted = work.written(rooted.withColumn("root", F.coalesce("root", "tag")), "rooted-texts")
     stays = work.written(rooted.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("keep")), "staying")
