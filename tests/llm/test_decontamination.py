@@ -70,3 +70,15 @@ def test_nulls_repeats_and_empty(spark, docs_of):
     assert d.contaminated(docs_of([]), bench).count() == 0
     assert not d.contaminated(docs_of([(1, item)]), bench.limit(0)).first().contaminated
     assert d.keep_rows(docs_of([(1, item)]), bench.limit(0)).count() == 1
+
+
+def test_documents_shorter_than_the_item(spark, docs_of):
+    """An item without its last words: the whole text is the window."""
+    item = [f"w{i}" for i in range(38)]
+    small = [f"s{i}" for i in range(9)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(small))], "item_id long, text string")
+    rows = [(n, " ".join(item[: 38 - n])) for n in range(1, 9)] + [(20, " ".join(item[3:])), (21, " ".join(small[1:])), (22, " ".join(small[2:])), (23, "w0 w1 w2")]
+    got = {r.doc_id: r.similarity for r in d.contaminated(docs_of(rows), bench).collect() if r.contaminated}
+    want = {n: (34 - n) / 34 for n in range(1, 7)} | {20: 31 / 34, 21: 4 / 5}  # 27/34 is below
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)

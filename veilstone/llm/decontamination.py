@@ -2,7 +2,7 @@
 
 A text is its runs of letters and digits, lower-cased; shingles are five such words (an
 item of fewer words is one shingle). An item of m shingles is sought in windows of m
-shingles. A document is contaminated where some window's shingle multiset has weighted
+shingles, or in the whole text where that has fewer. A document is contaminated where some window's shingle multiset has weighted
 Jaccard similarity of at least ``SIMILARITY`` with an item's; weights are multiplicities.
 
 1. A window as similar as that holds at least 2 m s / (1 + s) shingles of items of its
@@ -12,7 +12,9 @@ Jaccard similarity of at least ``SIMILARITY`` with an item's; weights are multip
    bits, with every value within ``RADIUS`` // 8 bit flips; a window looks its blocks up.
    Fingerprints within the radius agree in a block up to so many bits, so none is missed.
    The radius is four and a half deviations above the distance of windows at 0.8.
-3. Candidates within the radius are verified on the shingles.
+   A whole text shorter than the item needs no fingerprint: it meets the items of that
+   size with which it shares a shingle.
+3. Candidates are verified on the shingles.
 
 The benchmark's tables are broadcast only up to ``BROADCAST_ROWS`` counted rows.
 
@@ -89,18 +91,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     for size in sorted({k for k, _ in kinds}):
         own = items.filter(F.col("size") == size)
         vocabulary = work.broadcast_if(work.written(own.select("m", F.explode("h").alias("x")).distinct(), "benchmark-shingles"), BROADCAST_ROWS)
-        at = tagged.select(*_KEY, F.posexplode(F.expr(_shingles(size))).alias("at", "x")).join(vocabulary, "x")
-        held = at.groupBy(*_KEY, "m").agg(F.sort_array(F.collect_set("at")).alias("p"))
-        held = held.withColumn("least", wanted[F.col("m")]).filter(F.size("p") >= F.col("least"))
+        total = (F.size("w") - size + 1).alias("total")
+        at = tagged.select(*_KEY, total, F.posexplode(F.expr(_shingles(size))).alias("at", "x")).join(vocabulary, "x")
+        held = at.groupBy(*_KEY, "m").agg(F.sort_array(F.collect_set("at")).alias("p"), F.max("total").alias("total"))
+        short = F.ceil(similarity / (1 + similarity) * (F.col("m") + F.col("total")) - 1e-9).cast("int")
+        held = held.withColumn("least", F.when(F.col("total") < F.col("m"), F.greatest(F.lit(1), short)).otherwise(wanted[F.col("m")]))
+        held = held.filter((F.size("p") >= F.col("least")) & (F.col("total") >= similarity * F.col("m") - 1e-9))
         starts = F.expr(
-            "array_distinct(flatten(transform(filter(sequence(0, size(p) - least), i -> get(p, i + least - 1) - get(p, i) < m),"
-            " i -> sequence(greatest(0, get(p, i + least - 1) - m + 1), get(p, i)))))"
+            "CASE WHEN total < m THEN array(0) ELSE array_distinct(flatten(transform(filter(sequence(0, size(p) - least), i -> get(p, i + least - 1) - get(p, i) < m),"
+            " i -> sequence(greatest(0, get(p, i + least - 1) - m + 1), get(p, i))))) END"
         )
         dense = held.select(*_KEY, "m", starts.alias("starts")).filter(F.size("starts") > 0)
         dense = work.written(dense.groupBy(*_KEY).agg(F.collect_list(F.struct("m", "starts")).alias("windows")), "dense-windows")
         texts = tagged.join(work.broadcast_if(dense, 20_000), _KEY).dropDuplicates(_KEY)
         windows = texts.select(*_KEY, F.expr(_shingles(size)).alias("all"), F.explode("windows").alias("o")).select(*_KEY, "all", "o.m", F.explode("o.starts").alias("start"))
-        windows = windows.filter(F.col("start") + F.col("m") <= F.size("all")).select(*_KEY, "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("h"))
+        windows = windows.filter((F.col("start") + F.col("m") <= F.size("all")) | ((F.col("start") == 0) & (F.size("all") < F.col("m")))).select(*_KEY, "m", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("h"))
         windows = windows.select(*_KEY, "m", "start", F.expr(_MULTISET).alias("held"), F.expr(_SIMHASH).alias("fp"))
         part = _matches(windows, own, similarity, radius)
         found = part if found is None else found.union(part)
@@ -119,10 +124,12 @@ def _matches(windows: DataFrame, items: DataFrame, similarity: float, radius: in
     probes = work.broadcast_if(work.written(probes, "benchmark-index"), BROADCAST_ROWS)
     looked = windows.select(*_KEY, "m", "start", "fp", F.explode(block("fp")).alias("o")).select(*_KEY, "m", "start", "fp", F.col("o.b"), F.col("o.v"))
     near = looked.join(probes, ["m", "b", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select(*_KEY, "m", "start", "item_id").distinct()
+    pieces = work.broadcast_if(work.written(index.select("item_id", "m", F.explode("item").alias("x")), "item-shingles"), BROADCAST_ROWS)
+    short = windows.filter(F.size("held") < F.col("m")).select(*_KEY, "m", "start", F.explode("held").alias("x")).join(pieces, ["m", "x"])
+    near = near.select(*_KEY, "m", "start", "item_id").union(short.select(*_KEY, "m", "start", "item_id")).distinct()
     both = near.join(windows.select(*_KEY, "m", "start", "held"), [*_KEY, "m", "start"]).join(index.select("item_id", "m", "item"), ["item_id", "m"])
     shared = F.size(F.array_intersect("held", "item")).cast("double")
-    checked = both.select(*_KEY, "item_id", "start", (shared / (2 * F.col("m") - shared)).alias("similarity")).filter(F.col("similarity") >= similarity)
+    checked = both.select(*_KEY, "item_id", "start", (shared / (F.col("m") + F.size("held") - shared)).alias("similarity")).filter(F.col("similarity") >= similarity)
     best = checked.groupBy(*_KEY, "item_id").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
     return best.select(*_KEY, "item_id", (-F.col("best")["col2"]).cast("int").alias("start"), F.col("best.similarity"))
 
