@@ -286,20 +286,36 @@ def _package(main: str, xml: str) -> bytes:
     return out.getvalue()
 
 
-@query("""SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(text, '[a-zA-Z ]+'), lambda x: trim(x) <> '')[1:3], '|')) AS texts FROM documents WHERE len(list_filter(regexp_extract_all(text, '[a-zA-Z ]+'), lambda x: trim(x) <> '')) > 0""")
-def q_office_round_trip(spark, sf_dir):
-    """Three pieces of every document are packed as paragraphs of an office file and read back."""
-    import pyarrow as pa
+def _packed_and_read(held):
+    """doc_id, pieces as read back from office files with the pieces of held(doc_id, pieces) as paragraphs."""
+    from xml.sax.saxutils import escape
 
-    pieces = F.slice(F.filter(F.regexp_extract_all("text", F.lit("[a-zA-Z ]+"), F.lit(0)), lambda x: F.trim(x) != ""), 1, 3)
-    held = table(spark, sf_dir, "documents").select("doc_id", pieces.alias("pieces")).filter(F.size("pieces") > 0)
+    import pyarrow as pa
 
     def pack(batches):
         for b in batches:
-            contents = [_package("word/document.xml", "<w:document xmlns:w='w'>" + "".join(f"<w:p><w:t>{p}</w:t></w:p>" for p in ps) + "</w:document>") for ps in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["f.docx"] * b.num_rows), pa.array(contents, pa.binary())], names=["doc_id", "name", "content"])
+            for i in range(b.num_rows):
+                paragraphs = "".join(f"<w:p><w:t>{escape(p, {chr(13): '&#13;'})}</w:t></w:p>" for p in b.column(1)[i].as_py())
+                content = _package("word/document.xml", f"<w:document xmlns:w='w'>{paragraphs}</w:document>")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array(["f.docx"]), pa.array([content], pa.binary())], names=["doc_id", "name", "content"])
 
     packed = held.mapInArrow(pack, "doc_id long, name string, content binary")
     units = files.extract(packed, [files.text_adapter(), *office.office_adapters()])
     lists = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_ix", "text"))).alias("u"))
-    return lists.select("doc_id", F.md5(F.array_join(F.transform("u", lambda u: u["text"]), "|")).alias("texts"))
+    return lists.select("doc_id", F.transform("u", lambda u: u["text"]).alias("pieces"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_filter(regexp_extract_all(text, '[a-zA-Z ]+'), lambda x: trim(x) <> '')[1:3], '|')) AS texts FROM documents WHERE len(list_filter(regexp_extract_all(text, '[a-zA-Z ]+'), lambda x: trim(x) <> '')) > 0""")
+def q_office_round_trip(spark, sf_dir):
+    """Every piece of every document is packed as a paragraph of an office file and read back; the SQL compares the first three."""
+    pieces = F.filter(F.regexp_extract_all("text", F.lit("[a-zA-Z ]+"), F.lit(0)), lambda x: F.trim(x) != "")
+    read = _packed_and_read(table(spark, sf_dir, "documents").select("doc_id", pieces.alias("pieces")).filter(F.size("pieces") > 0))
+    return read.select("doc_id", F.md5(F.array_join(F.slice("pieces", 1, 3), "|")).alias("texts"))
+
+
+@query("""SELECT doc_id, md5(text) AS texts FROM documents WHERE text IS NOT NULL""")
+def q_office_round_trip_whole(spark, sf_dir):
+    """Every line of every document, behind a mark so that blank lines are units too, is packed and read back; the whole text is compared."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit(">"), x))
+    read = _packed_and_read(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", lines.alias("pieces")))
+    return read.select("doc_id", F.md5(F.array_join(F.transform("pieces", lambda x: F.substring(x, 2, 2**31 - 1)), "\n")).alias("texts"))
