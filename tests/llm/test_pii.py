@@ -60,3 +60,9 @@ def test_rows(docs_of):
     got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in p.find_personal_data(docs_of(rows)).collect()}
     assert got == {(1, 1, 1, 0, 0, "email:0:6,ip:7:14"), (4, 1, 1, 0, 0, "email:0:6,ip:7:14"), (2, 0, 0, 0, 0, ""), (3, 0, 0, 0, 0, ""), (None, 0, 0, 0, 1, "phone:0:17")}
     assert p.find_personal_data(docs_of([])).count() == 0
+
+
+def test_long_spelled_out_forms():
+    find = p.Finder(p.trained()).find
+    for kind, body in (("email", "ann (at) example (dot) co (dot) uk"), ("email", "jane.doe (at) mail (dot) example (dot) com"), ("ip", "10[dot]0[dot]0[dot]1"), ("email", f"jo (at) {'b' * 30} (dot) {'c' * 30} (dot) org")):
+        assert find(f"write {body} today")[1] == [(kind, 6, 6 + len(body))], body

@@ -99,13 +99,14 @@ def joined(spans: list[Span]) -> str:
 
 # --- the random field --------------------------------------------------------------
 
-MOST_TOKENS = 16
+MOST_TOKENS = 32
 _token = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
 #: A stretch of characters that an entity can be made of, with a spelled-out "at" or "dot" inside.
 _stretch = re.compile(r"(?:[0-9@][^\s]*|\([0-9][^\s]*|\+[0-9][^\s]*|[\[({]\s?(?:at|AT)\s?[\])}])")
 _at = re.compile(r"@|[\[({]\s?(?:at|AT)\s?[\])}]")
 _spelled = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({]\s?(?:at|AT)\s?[\])}])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({]\s?(?:dot|DOT)\s?[\])}])\s?[A-Za-z0-9-]+)+\Z")
 _dotted = re.compile(r"[0-9]{1,3}(?:\s?(?:\.|[\[({]\.[\])}]|[\[({]dot[\])}])\s?[0-9]{1,3}){3}\Z")
+_dots = re.compile(r"\.|[\[({]\s?(?:dot|DOT)\s?[\])}]")
 _cardlike = re.compile(r"[0-9]{4}(?:[ ._/-]{0,2}[0-9]){9,15}\Z")
 _phonelike = re.compile(r"(?:\+|00)?\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,14}\Z")
 _CUES = {"mail": "email", "email": "email", "e": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip", "address": "ip",
@@ -118,7 +119,8 @@ def possible(kind: str, text: str) -> bool:
 
 
 def shape(text: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text))))[:24]
+    out = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text))))
+    return re.sub(r"( ?[\[({]a[\])}] ?a)\1+", r"\1", out)[:24]  # spelled-out parts count once, however many
 
 
 def segment_features(kind: str, text: str, start: int, stop: int, cue: str | None) -> list[str]:
@@ -182,7 +184,7 @@ class Field:
         for j in range(1, len(tokens) + 1):
             choice, step = best[j - 1], None
             for i, kind, s in ending.get(j, ()):
-                if best[i] + s > choice:
+                if best[i] + s > choice or s > 0 and best[i] + s == choice:  # of equals, the one that ends later
                     choice, step = best[i] + s, (i, kind)
             best.append(choice)
             back.append(step)
@@ -299,11 +301,15 @@ class Finder:
         out = []
         for a, b in zones(text):
             body = text[a:b]
-            if len(_digit.findall(body)) < 7 and not _at.search(body) and body.count(".") < 3:
+            if len(_digit.findall(body)) < 7 and not _at.search(body) and len(_dots.findall(body)) < 3:
                 continue
             left = max(0, a - 80)
             lead = max(text.rfind("\n", left, a), left - 1) + 1
-            end = min(len(text), b + 40)
+            while lead == left and 0 < left and text[left - 1].isalnum() and text[left].isalnum():
+                lead = left = left - 1
+            end = b
+            for _ in range(MOST_TOKENS):  # whole tokens, as many as a segment can hold
+                end = m.end() if (m := _token.match(text, end)) else end
             part = text[lead:end]
             if part not in self.known:
                 if len(self.known) >= self.cache:
