@@ -82,3 +82,54 @@ def test_documents_shorter_than_the_item(spark, docs_of):
     want = {n: (34 - n) / 34 for n in range(1, 7)} | {20: 31 / 34, 21: 4 / 5}  # 27/34 is below
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_common_passage_long_text_and_ties(spark, docs_of):
+    """A passage in a third of the rows, copies, 20,000 words, items that are the same but for their ids."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    item = [word() for _ in range(40)]
+    items = [(1, " ".join(item)), (2, " ".join(item)), (3, " ".join([*item[:39], word()])), (None, " ".join(word() for _ in range(8)))]
+    rows = []
+    for n in range(240):
+        text = [word() for _ in range(r.randint(30, 60))]
+        if n % 3 == 0:
+            text[10:10] = item
+        rows.append((n, " ".join(text)))
+    rows += [(500 + n, rows[0][1]) for n in range(60)]
+    rows += [(600, " ".join([*(word() for _ in range(20_000)), *item])), (601, " ".join(word() for _ in range(20_000))), (602, "Z" * 300_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x for x in d.contaminated(docs_of(rows), bench).collect()}
+    assert len(got) == len(rows)
+    assert {k for k, x in got.items() if x.contaminated} == {n for n in range(0, 240, 3)} | set(range(500, 560)) | {600}
+    assert all(x["items"] == [1, 2, 3] and x.similarity == 1.0 for x in got.values() if x.contaminated)
+    starts = {x.start for x in d.leaks(docs_of(rows), bench).collect() if x.item_id == 1}
+    assert starts == {10, 20_000}
+
+
+def test_short_items_near_the_radius(spark, docs_of):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(6 + i % 7))) for i in range(30)]
+    docs = []
+    for n in range(120):
+        inner = words(items[n % 30][1])
+        for _ in range(n // 30):
+            inner[r.choice([0, -1])] = word()
+        docs.append((n, " ".join([*(word() for _ in range(5)), *inner, *(word() for _ in range(5))])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: set(x["items"]) for x in d.contaminated(docs_of(docs), bench).collect() if x.contaminated}
+    assert got == brute(docs, items)
+
+
+def test_index_discards_what_chance_would_fetch(spark):
+    """2,000 items of one length: the index fetches a small multiple of the pairs that are within the radius."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    items = [(i, " ".join(f"x{r.getrandbits(30):x}" for _ in range(24))) for i in range(2_000)]
+    held = d.items_of(spark.createDataFrame(items, "item_id long, text string"))
+    windows = held.filter("item_id % 20 = 0").select(F.col("item_id").alias("w1"), F.lit(0).alias("w2"), "family", "m", "h")
+    got = d.fetched(windows, held, d.RADIUS)
+    assert got.count() == 8 * 100  # each window's own item, once for each block; chance pairs would be over 200,000
+    assert held.select("family").distinct().count() == 2_000
