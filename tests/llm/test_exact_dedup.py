@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from veilstone.llm import exact_dedup, work
 
 ROWS = [(1, "a"), (2, "a"), (3, ""), (4, None), (5, "b"), (5, "b"), (None, "a"), (None, "solo"), (6, "x" * 200_000), (7, "x" * 200_000), (8, "A")]
@@ -42,5 +44,22 @@ def test_index_persists(spark, docs_of, tmp_path):
     assert "SortMergeJoin" in plan
 
 
+def test_index_keeps_its_number_of_buckets(spark, docs_of, tmp_path):
+    """Opened with 4, 16 and 4 buckets, out of the catalogue in between: every known text is found."""
+    path, texts = str(tmp_path / "index"), [(i, f"text {i}") for i in range(200)]
+    batch = exact_dedup.digests_of(docs_of(texts))
+    for n, wanted in enumerate((4, 16, 4)):
+        index = exact_dedup.DigestIndex(spark, path, wanted)
+        assert index.buckets == 4
+        assert index.new_groups(batch).count() == (0 if n else 200)
+        exact_dedup.ingest(docs_of([*texts, (1_000 + n, f"more {n}")]), index)
+        assert index.rows().count() == 201 + n
+        index.forget()
+    next((tmp_path / "index").glob("_buckets-*")).unlink()
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 4)
+
+
 def test_shared_folder_is_the_sessions(spark):
-    assert work.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    assert work.shared_dir(spark) == (told.rstrip("/") if told else work._local)

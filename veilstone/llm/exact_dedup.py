@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from . import work
 
+#: Name of the file that notes the number of buckets, before that number; readers pass over names that begin so.
+NOTE = "_buckets-"
 INDEX_SCHEMA = T.StructType(
     [T.StructField("digest", T.BinaryType()), T.StructField("keep_id", T.LongType())]
 )
@@ -32,17 +34,35 @@ def text_digest(text: str = "text") -> Column:
 
 
 class DigestIndex:
-    """A persistent index of digests: external bucketed Parquet table at ``path``."""
+    """A persistent index of digests: external bucketed Parquet table at ``path``.
+
+    Its number of buckets is set when it is made and stands in a file beside the data;
+    a later opening takes it from there, whatever the settings are by then.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored_buckets(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.name = f"digest_index_{hashlib.md5(path.encode()).hexdigest()[:12]}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _stored_buckets(self, wanted: int) -> int:
+        """The number of buckets of the files at the path; the wanted one, which is then noted, where there are none."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(conf)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        noted = [int(n.removeprefix(NOTE)) for n in names if n.startswith(NOTE)]
+        if len(noted) == 1:
+            return noted[0]
+        if noted or any(n.startswith("part-") for n in names):
+            raise ValueError(f"{self.path} holds an index whose number of buckets can't be told")
+        fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{NOTE}{wanted}")).close()
+        return wanted
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
