@@ -1,27 +1,17 @@
-"""Near-dedup of texts by shingle similarity, by an exact prefix-filter join.
-
-Two texts link where their sets of five-word shingles have a Jaccard similarity of 0.8 or
-more. The shingles of all texts stand in one order: those that a sample of the rows holds
-often come last, the others by their hash. Of n shingles, texts that link share one among
-each other's first n - ceil(0.8 n) + 1; these are the keys under which texts meet. Any
-order gives the same links; the sample only keeps what many texts share out of the keys.
-
-1. Leaders: under each key that many texts hold, all are compared with one leader, the text
-   with the fewest shingles of its own. A large group mostly becomes one component by that,
-   at a cost linear in its size. Two more such rounds, with other leaders, take the keys
-   where many texts of several components still meet.
-2. The rest: under each key with texts of several components, every text is paired with
-   every one of another component, unless sizes and places in the order rule the
-   similarity out. Large keys are cut into blocks, and each block meets each other.
-
-Pairs are verified by the exact similarity, and verified links become components. Only
-pairs within a component are left out, so the components are those of all links. Where
-many texts share keys and don't link, the second step grows with the square of their number.
-
-Defined results: a null text counts as empty; texts without words are all alike; fewer
-words than a shingle give one shingle; equal texts are one node; the row with the least
-doc_id (null least) stays of each group, rows that repeat doc_id and text stay or go
-together; an empty table gives no rows; other columns pass through.
+"""Exact candidate search for texts that share most of their shingles: a prefix-filter join.
+
+The distinct shingles of all texts stand in one order: the common ones last, by how common
+they are, the others by their hash. Of n shingles, texts with a Jaccard similarity of s
+share one among each other's first n - ceil(s n) + 1; under these keys texts meet. Any
+order gives the same pairs, so how the common ones are told bears on the cost only: an
+occurrence in ``RATE`` of every row's shingles is counted, and those counted ``OFTEN`` times
+are common, up to ``MOST_COMMON`` of the commonest.
+
+Under keys that aren't common few texts meet, so the rows of a key are sorted together and
+every pair is looked at. Common keys never become rows of a shuffle at first: each text
+meets one leader of each key, so that a large group becomes one component at a cost linear
+in its size. Where several components still meet, every text is paired with every one of
+another component, large keys cut into blocks. Sizes and places rule pairs out beforehand.
 """
 
 from __future__ import annotations
@@ -35,20 +25,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import work
-from .components import components
-from .simhash_dedup import hashes
-
-WORDS, SIMILARITY = 5, 0.8
-#: Rows in the sample that tells what is common, and the most keys that a leader round takes. They bear on the cost only.
-SAMPLE, MOST_LED = 5_000, 100_000
-#: Keys of more texts than this go through leader rounds; keys of more than BLOCK texts are cut into blocks.
-MANY, BLOCK, ROUNDS = 64, 1_000, 3
+
+#: They bear on the cost only: one of so many occurrences is counted, counts from which a shingle is common, most common ones.
+RATE, OFTEN, MOST_COMMON = 16, 4, 1_000_000
+#: Common keys of more texts than MANY go through leader rounds, the largest MOST_LED of them; keys of more than BLOCK texts are cut into blocks.
+MANY, MOST_LED, BLOCK = 16, 100_000, 1_000
 BROADCAST_ROWS = 500_000
+#: Pairs looked at in one go.
+AT_ONCE = 1 << 20
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX
+    return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of the shingles, in order."""
-    return np.unique(hashes(text, words).reshape(-1).view(">u8").astype(np.uint64))
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of the runs of so many words, in order, repeats included; of all words where there are fewer. A-Z are lower-cased."""
+    import xxhash
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    single = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    size = min(words, len(found))
+    out = np.zeros(len(found) - size + 1, np.uint64)
+    for k in range(size):
+        out = out * _ODD + single[k : k + len(out)]
+    return _mixed(out)
 
 
 def _places(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,44 +64,79 @@ def _places(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, sorted_keys[at] == x
 
 
-def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """The first shingles in the common order that a similar text can't all lack; how many shingles are not common."""
-    found = found.view(np.int64)
+def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int]:
+    """Of a text's distinct shingles in hash order: the first in the common order that a similar text can't all lack, how many of these aren't common, how many of all aren't."""
     if not len(found):
-        return np.zeros(1, np.int64), 0
+        found = np.zeros(1, np.int64)  # texts without words meet under one key
     at, there = _places(common, found)
-    often = np.where(there, counts[at], 0) if len(common) else np.zeros(len(found), np.int64)
-    return found[np.lexsort((found, often))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1], int((~there).sum())
+    long = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    own = int(len(found) - there.sum())
+    if own >= long:
+        return found[~there][:long], long, own
+    rest, often = found[there], counts[at[there]]
+    return np.concatenate([found[~there], rest[np.lexsort((rest, often))][: long - own]]), own, own
 
 
-def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several rows of a sample hold, in order, and how many hold them."""
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles of texts(key long, text), in order, and how often each was counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["x"])
-
-    step = max(1, docs.count() // SAMPLE)
-    held = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0).select("text").mapInArrow(run, "x long")
-    told = held.groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3").orderBy(F.desc("c"), "x").limit(MOST_LED).toArrow()
+            salts = batch.column(0).to_numpy().astype(np.uint64)
+            taken = [np.zeros(0, np.uint64)]
+            for salt, text in zip(salts, batch.column(1).to_pylist(), strict=True):
+                found = np.unique(shingle_hashes(text, words))
+                taken.append(found[_mixed((found ^ salt) * _ODD) % np.uint64(RATE) == 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64))], names=["x"])
+
+    held = texts.mapInArrow(run, "x long").groupBy("x").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN)
+    told = held.orderBy(F.desc("c"), "x").limit(MOST_COMMON).toArrow()
     x, c = (told.column(i).to_numpy().astype(np.int64) for i in range(2))
     order = np.argsort(x)
     return x[order], c[order]
 
 
-def _prefixes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, np.ndarray]:
-    """doc, tag, n (shingles), own (those not common), p (first shingles in the common order); the common shingles."""
-    common, counts = _common(docs, words)
+def _fit(n_u: np.ndarray, at_u: np.ndarray, n_v: np.ndarray, at_v: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes, and what is left of both from the shared shingle on, let two texts be similar."""
+    share = similarity / (1 + similarity)
+    return (np.minimum(n_u, n_v) >= similarity * np.maximum(n_u, n_v) - 1e-9) & (np.minimum(n_u - at_u, n_v - at_v) >= share * (n_u + n_v) - 1e-9)
+
+
+def cold_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """u > v: pairs of nodes(node, label, n, cold, p) of different labels that meet under a key that isn't common and can be similar; written."""
+    spark = nodes.sparkSession
+
+    def pairs_of(key, node, label, n, at):
+        """All fitting pairs of rows in order of their keys."""
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        long = np.diff(np.append(edge, len(key)))
+        for size in np.unique(long[long > 1]):
+            starts = edge[long == size]
+            for later in range(1, size):
+                for cut in range(0, len(starts), max(1, AT_ONCE // (size - later))):
+                    first = (starts[cut : cut + max(1, AT_ONCE // (size - later)), None] + np.arange(size - later)).reshape(-1)
+                    i, j = first, first + later
+                    fit = (label[i] != label[j]) & _fit(n[i], at[i], n[j], at[j], similarity)
+                    if fit.any():
+                        yield np.maximum(node[i[fit]], node[j[fit]]), np.minimum(node[i[fit]], node[j[fit]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(2).to_pylist()]
-            told = [prefix(x, common, counts, similarity) for x in sets]
-            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array([own for _, own in told], pa.int64()), pa.array([p for p, _ in told], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "tag", "n", "own", "p"])
-
-    return work.written(docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, own long, p array<long>"), "prefixes"), common
+            now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on in the next batch
+            for u, v in pairs_of(*(x[:last] for x in held)) if last else ():
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            held = [x[last:] for x in held]
+        if held is not None and len(held[0]):
+            for u, v in pairs_of(*held):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    rows = nodes.select("node", "label", "n", F.posexplode(F.slice("p", F.lit(1), F.col("cold"))).alias("at", "key")).select("key", "node", "label", "n", "at")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    with work.batch_rows(spark, work.NUMBER_ROWS):
+        return work.written(rows.mapInArrow(run, "u long, v long").distinct(), "cold-pairs")
 
 
 def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,50 +145,56 @@ def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
 
 
-def _led(nodes: DataFrame, keys: np.ndarray, turn: int, similarity: float) -> DataFrame:
-    """u, v: each node with the leaders of those of its keys that are among the given (in order), where they are of another component."""
+def common_nodes(nodes: DataFrame) -> DataFrame:
+    """node, n, own, cold, p for nodes with common keys; p has only these; written."""
+    held = nodes.filter(F.size("p") > F.col("cold"))
+    return work.written(held.select("node", "n", "own", "cold", F.slice("p", F.col("cold") + 1, F.size("p") - F.col("cold")).alias("p")), "common-nodes")
+
+
+def led_pairs(nodes: DataFrame, keys: np.ndarray, turn: int, similarity: float) -> DataFrame:
+    """u > v: each of nodes(node, n, own, label, p) with the leaders of those of its keys that are among the given (in order), where they are of another label; written."""
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
         for batch in batches:
-            tag, n, own, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            node, n, own, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             key, row = _flat(batch, 4)
             here = _places(keys, key)[1]
-            first = own if not turn else (tag ^ np.int64(turn * 0x9E3779B97F4A7C1)) * np.int64(0x2545F4914F6CDD1D)  # from the second turn on, by lot
+            first = own if not turn else (_mixed(node.astype(np.uint64) + np.uint64(turn) * _ODD) >> np.uint64(1)).astype(np.int64)  # from the second turn on, by lot
             key, row = key[here], row[here]
-            order = np.lexsort((tag[row], first[row], key))
+            order = np.lexsort((node[row], first[row], key))
             key, row = key[order], row[order]
             for i in np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else ():
-                mine = (int(first[row[i]]), int(tag[row[i]]), int(n[row[i]]), int(label[row[i]]))
+                mine = (int(first[row[i]]), int(node[row[i]]), int(n[row[i]]), int(label[row[i]]))
                 k = int(key[i])
                 if k not in best or mine < best[k]:
                     best[k] = mine
         rows = [(k, *x) for k, x in best.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["key", "first", "tag", "n", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["key", "first", "node", "n", "label"])
 
-    shape = nodes.select("tag", "n", "own", "label", "p")
-    told = shape.mapInArrow(firsts, "key long, first long, tag long, n long, label long").groupBy("key").agg(F.min(F.struct("first", "tag", "n", "label")).alias("o"))
-    told = told.select("key", "o.tag", "o.n", "o.label").toArrow()
+    shape = nodes.select("node", F.col("n").cast("long"), F.col("own").cast("long"), "label", "p")
+    told = shape.mapInArrow(firsts, "key long, first long, node long, n long, label long").groupBy("key").agg(F.min(F.struct("first", "node", "n", "label")).alias("o"))
+    told = told.select("key", "o.node", "o.n", "o.label").toArrow()
     led, lead, size, group = (told.column(i).to_numpy().astype(np.int64) for i in range(4))
     order = np.argsort(led)
     led, lead, size, group = led[order], lead[order], size[order], group[order]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tag, n, _, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            node, n, _, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             key, row = _flat(batch, 4)
             at, there = _places(led, key)
             at, row = at[there], row[there]
             fit = (group[at] != label[row]) & (np.minimum(size[at], n[row]) >= similarity * np.maximum(size[at], n[row]) - 1e-9) if len(at) else np.zeros(0, bool)
-            pairs = np.unique(np.column_stack([tag[row[fit]], lead[at[fit]]]), axis=0) if fit.any() else np.zeros((0, 2), np.int64)
+            pairs = np.unique(np.column_stack([node[row[fit]], lead[at[fit]]]), axis=0) if fit.any() else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     met = shape.mapInArrow(meet, "u long, v long")
-    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return work.written(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "led-pairs")
 
 
-def _open_keys(nodes: DataFrame) -> DataFrame:
-    """key, c: keys under which nodes of several components meet, and how many nodes; written."""
+def open_keys(nodes: DataFrame) -> DataFrame:
+    """key, c: keys of nodes(label, p) under which several labels meet, and how many nodes; written."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,84 +212,26 @@ def _open_keys(nodes: DataFrame) -> DataFrame:
     return work.written(told.filter("lo <> hi").select("key", "c"), "open-keys")
 
 
-def _rest(nodes: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
-    """u, v: all pairs of nodes of different components that meet under a key and can be similar."""
-    rows = nodes.select("tag", "n", "label", F.posexplode("p").alias("at", "key")).join(work.broadcast_if(keys, BROADCAST_ROWS), "key")
-    rows = work.written(rows, "open-rows")
+def large_keys(keys: DataFrame) -> np.ndarray:
+    """The largest open keys, in order."""
+    many = keys.filter(F.col("c") > MANY).orderBy(F.desc("c"), "key").limit(MOST_LED).select("key").toArrow()
+    return np.sort(many.column(0).to_numpy().astype(np.int64))
+
+
+def open_pairs(nodes: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """u > v: all pairs of nodes(node, n, label, cold, p) of different labels that meet under open keys and can be similar; written."""
+    rows = nodes.select("node", "n", "label", "cold", F.posexplode("p").alias("k", "key")).join(work.broadcast_if(keys, BROADCAST_ROWS), "key")
+    rows = work.written(rows.withColumn("at", F.col("cold") + F.col("k")).drop("cold", "k"), "open-rows")
     # the largest component of a key needs no look within itself
     most = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"))
     most = work.written(most.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.min("least").alias("least")).select("key", F.col("most.label").alias("most"), "least"), "key-components")
     share = similarity / (1 + similarity)  # of both sizes together, what similar texts have in common at least
     rows = rows.join(work.broadcast_if(most, BROADCAST_ROWS), "key").filter(F.col("n") - F.col("at") >= share * (F.col("n") + F.col("least")) - 1e-9)
     blocks = F.ceil(F.col("c") / BLOCK).cast("long")
-    mine, every = F.pmod("tag", blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    left = rows.filter("label <> most").select("key", mine.alias("a"), every.alias("b"), *[F.col(x).alias(f"{x}_u") for x in ("tag", "n", "at", "label")])
-    right = rows.select("key", every.alias("a"), mine.alias("b"), "most", *[F.col(x).alias(f"{x}_v") for x in ("tag", "n", "at", "label")])
-    met = left.join(right, ["key", "a", "b"]).filter("label_u <> label_v and (label_v = most or tag_u < tag_v)")
+    mine, every = F.pmod("node", blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    left = rows.filter("label <> most").select("key", mine.alias("a"), every.alias("b"), *[F.col(x).alias(f"{x}_u") for x in ("node", "n", "at", "label")])
+    right = rows.select("key", every.alias("a"), mine.alias("b"), "most", *[F.col(x).alias(f"{x}_v") for x in ("node", "n", "at", "label")])
+    met = left.join(right, ["key", "a", "b"]).filter("label_u <> label_v and (label_v = most or node_u < node_v)")
     met = met.filter(F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= share * (F.col("n_u") + F.col("n_v")) - 1e-9)
-    return met.select(F.greatest("tag_u", "tag_v").alias("u"), F.least("tag_u", "tag_v").alias("v")).distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the written pairs that are similar; written."""
-    wanted = work.written(pairs.select(F.col("u").alias("tag")).union(pairs.select("v")).distinct(), "near-nodes")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["tag", "h"])
-
-    texts = docs.select("tag", "text").join(work.broadcast_if(wanted, BROADCAST_ROWS), "tag")
-    held = texts.mapInArrow(sets, "tag long, h array<long>").dropDuplicates(["tag"])
-    held = work.written(held, "shingle-sets")  # read back, each join's sides are plain exchanges, which Spark can split
-    both = pairs.join(held.select(F.col("tag").alias("u"), F.col("h").alias("a")), "u").join(held.select(F.col("tag").alias("v"), F.col("h").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return work.written(both.filter((F.size("a") + F.size("b") == 0) | (shared >= similarity * (F.size("a") + F.size("b") - shared))).select("u", "v"), "similar-links")
-
-
-def similar_components(docs: DataFrame, found: DataFrame, common: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """node, root for the tags of docs(doc, tag, text) that have links, given their prefixes."""
-    nodes = work.written(found.dropDuplicates(["tag"]).drop("doc"), "text-nodes")
-    labelled, keys, seen, links, roots = nodes.withColumn("label", F.col("tag")), common, None, None, None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS and len(keys):
-            pairs = _led(labelled, keys, turn, similarity)
-        elif turn:
-            pairs = _rest(labelled, open_keys, similarity)
-        else:
-            pairs = None
-        if pairs is not None:
-            pairs = work.written(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"), "candidate-pairs")
-            seen = pairs if seen is None else seen.union(pairs)
-            new = _verified(docs, pairs, words, similarity)
-            links = new if links is None else links.union(new)
-            roots = components(links)
-            if turn == ROUNDS or turn and not len(keys):
-                return roots
-            told = nodes.join(work.broadcast_if(roots.withColumnRenamed("node", "tag"), BROADCAST_ROWS), "tag", "left")
-            labelled = work.written(told.withColumn("label", F.coalesce("root", "tag")).drop("root"), "labelled-nodes")
-        open_keys = _open_keys(labelled)
-        many = open_keys.filter(F.col("c") > MANY).orderBy(F.desc("c"), "key").limit(MOST_LED).select("key").toArrow()
-        keys = np.sort(many.column(0).to_numpy().astype(np.int64))
-    return roots
-
-
-def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc, tag, keep_doc, keep_tag for every row of docs; tag stands for the text."""
-    work.small_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    mine = docs.select(work.id_or_least().alias("doc"), F.xxhash64(text, F.length(text)).alias("tag"), text.alias("text"))
-    found, common = _prefixes(mine, words, similarity)
-    roots = similar_components(mine, found, common, words, similarity)
-    rooted = found.select("doc", "tag").join(roots.withColumnRenamed("node", "tag"), "tag", "left")
-    rooted = work.written(rooted.withColumn("root", F.coalesce("root", "tag")), "rooted-texts")
-    stays = work.written(rooted.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("keep")), "staying")
-    return rooted.join(stays, "root").select("doc", "tag", F.col("keep.doc").alias("keep_doc"), F.col("keep.tag").alias("keep_tag"))
-
-
-def keep_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the rows of a group that don't stay, with docs' own columns."""
-    told = groups(docs, words, similarity)
-    gone = work.written(told.filter("doc <> keep_doc or tag <> keep_tag").select("doc", "tag").distinct(), "gone")
-    text = F.coalesce("text", F.lit(""))
-    return work.without(docs, {"doc": work.id_or_least(), "tag": F.xxhash64(text, F.length(text))}, gone)
+    met = met.filter(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9)
+    return work.written(met.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct(), "open-pairs")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +15,23 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Rows in one Arrow batch sent to Python. Texts can be long, so batches are short.
 ARROW_ROWS = 256
+#: The same for rows of a few numbers.
+NUMBER_ROWS = 32_768
 #: Keys of a few numbers are broadcast up to so many counted rows (some tens of MB); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 
 _made: list[tuple[SparkSession, str]] = []
+_local: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master where that is unset (tests), a fresh one."""
+    global _local
+    at = spark.conf.get("spark.checkpoint.dir", None) or _local
     if not at:
-        at = tempfile.mkdtemp(prefix="veilstone-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _local = tempfile.mkdtemp(prefix="veilstone-")
     return at.rstrip("/")
 
 
@@ -98,6 +105,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what is written within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     """Marks df for broadcast when a count shows that it has at most so many rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
