@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilstone.llm import decontamination, exact_dedup, mixing, similar_texts, toxicity, work
+from veilstone.llm import decontamination, exact_dedup, mixing, simhash_dedup, toxicity, work
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that share 0.8 of their five-word shingles, directly or in a chain, the smallest doc_id stays."""
-    return similar_texts.keep_rows(docs)
+    return simhash_dedup.keep_rows(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
