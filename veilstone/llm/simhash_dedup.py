@@ -52,7 +52,7 @@ WORDS, RADIUS, HASH_SEED = 3, 2, 42
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Turns of leaders for common keys, after which every open pair is looked at.
 ROUNDS = 3
-#: Texts paired with each other, by their least neighbour, are cut into parts of about so many shingles (2 MB); the pairs of two parts are verified in one row.
+#: Texts paired with each other, by the least node near them, are cut into parts of about so many shingles (2 MB); the pairs of two parts are verified in one row.
 GROUP_SHINGLES = 250_000
 CAP = 64
 BASE = 0x9E3779B97F4A7C15
@@ -226,8 +226,10 @@ def _similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, words: int, si
 
     told = docs.select(work.id_or_least().alias("doc"), _digest().alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     told = told.join(work.broadcast_if(wanted.drop("n"), work.BROADCAST_ROWS), ["doc", "digest"]).select("node", "text").mapInArrow(sets, "node long, h array<long>")
-    ends = pairs.union(pairs.select("v", "u")).groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("near")).withColumnRenamed("u", "node")
-    ends = work.written(ends.join(work.broadcast_if(wanted.select("node", "n"), work.BROADCAST_ROWS), "node"), "near-nodes")  # texts that many meet share their least neighbour
+    both = pairs.union(pairs.select("v", "u"))
+    first = work.written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("near")).withColumnRenamed("u", "v"), "first-neighbours")
+    ends = both.join(work.broadcast_if(first, work.BROADCAST_ROWS), "v").groupBy("u").agg(F.min("near").alias("near")).withColumnRenamed("u", "node")
+    ends = work.written(ends.join(work.broadcast_if(wanted.select("node", "n"), work.BROADCAST_ROWS), "node"), "near-nodes")  # the least node within two steps or so: texts of a group mostly share it
     sizes = ends.groupBy("near").agg(F.sum("n").alias("all"))
     met = ends.join(sizes, "near").select("node", "near", F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / GROUP_SHINGLES + 1e-9).cast("long")).alias("part"))
     met = work.broadcast_if(work.written(met, "grouped-nodes"), work.BROADCAST_ROWS)
