@@ -7,8 +7,8 @@ order gives the same pairs, so how the common ones are told bears on the cost on
 occurrence in ``RATE`` of every row's shingles is counted, and those counted ``OFTEN`` times
 are common, up to ``MOST_COMMON`` of the commonest.
 
-Under keys that aren't common few texts meet, so the rows of a key are sorted together and
-every pair is looked at. Common keys never become rows of a shuffle at first: each text
+Under keys that aren't common few texts meet, so the rows of a key are sorted together,
+every pair is looked at, and the keys that a pair shares are counted. Common keys never become rows of a shuffle at first: each text
 meets one leader of each key, so that a large group becomes one component at a cost linear
 in its size. Where several components still meet, every text is paired with every one of
 another component, large keys cut into blocks. Sizes and places rule pairs out beforehand.
@@ -96,29 +96,29 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     return x[order], c[order]
 
 
-def _fit(n_u: np.ndarray, at_u: np.ndarray, n_v: np.ndarray, at_v: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sizes, and what is left of both from the shared shingle on, let two texts be similar."""
-    share = similarity / (1 + similarity)
-    return (np.minimum(n_u, n_v) >= similarity * np.maximum(n_u, n_v) - 1e-9) & (np.minimum(n_u - at_u, n_v - at_v) >= share * (n_u + n_v) - 1e-9)
-
-
 def cold_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """u > v: pairs of nodes(node, label, n, cold, p) of different labels that meet under a key that isn't common and can be similar; written."""
-    spark = nodes.sparkSession
+    """u > v: pairs of nodes(node, label, n, cold, p) of different labels that meet under as many keys that aren't common as similar texts must; written.
+
+    Of what two texts share, all up to the nearer end of their keys here is under such keys,
+    so at most what one of them has beyond its own keys isn't counted.
+    """
+    spark, share = nodes.sparkSession, similarity / (1 + similarity)
 
-    def pairs_of(key, node, label, n, at):
-        """All fitting pairs of rows in order of their keys."""
+    def pairs_of(key, node, label, n, rest):
+        """All rows in order of their keys with all others of the same key, and how many keys both must meet under."""
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         long = np.diff(np.append(edge, len(key)))
         for size in np.unique(long[long > 1]):
             starts = edge[long == size]
             for later in range(1, size):
                 for cut in range(0, len(starts), max(1, AT_ONCE // (size - later))):
-                    first = (starts[cut : cut + max(1, AT_ONCE // (size - later)), None] + np.arange(size - later)).reshape(-1)
-                    i, j = first, first + later
-                    fit = (label[i] != label[j]) & _fit(n[i], at[i], n[j], at[j], similarity)
-                    if fit.any():
-                        yield np.maximum(node[i[fit]], node[j[fit]]), np.minimum(node[i[fit]], node[j[fit]])
+                    i = (starts[cut : cut + max(1, AT_ONCE // (size - later)), None] + np.arange(size - later)).reshape(-1)
+                    j = i + later
+                    fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                    i, j = i[fit], j[fit]
+                    if len(i):
+                        need = np.ceil(share * (n[i] + n[j]) - 1e-9).astype(np.int64) - np.maximum(rest[i], rest[j])
+                        yield np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -126,17 +126,18 @@ def cold_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
             now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on in the next batch
-            for u, v in pairs_of(*(x[:last] for x in held)) if last else ():
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            for met in pairs_of(*(x[:last] for x in held)) if last else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in met], names=["u", "v", "need"])
             held = [x[last:] for x in held]
         if held is not None and len(held[0]):
-            for u, v in pairs_of(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            for met in pairs_of(*held):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in met], names=["u", "v", "need"])
 
-    rows = nodes.select("node", "label", "n", F.posexplode(F.slice("p", F.lit(1), F.col("cold"))).alias("at", "key")).select("key", "node", "label", "n", "at")
+    rows = nodes.select(F.explode(F.slice("p", F.lit(1), F.col("cold"))).alias("key"), "node", "label", "n", (F.col("n") - F.col("cold")).alias("rest"))
     rows = rows.repartition("key").sortWithinPartitions("key")
     with work.batch_rows(spark, work.NUMBER_ROWS):
-        return work.written(rows.mapInArrow(run, "u long, v long").distinct(), "cold-pairs")
+        met = rows.mapInArrow(run, "u long, v long, need long").groupBy("u", "v", "need").agg(F.count(F.lit(1)).alias("k"))
+        return work.written(met.filter("k >= need").select("u", "v"), "cold-pairs")
 
 
 def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
