@@ -199,6 +199,9 @@ def _nodes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, D
     if copies.limit(1).count():
         texts = rows.join(work.broadcast_if(copies.filter("node <> rep").select("node"), work.BROADCAST_ROWS), "node", "left_anti")
         texts = work.written(texts, "text-nodes")
+        slim = work.written(rows.select("node", "doc", "digest"), "row-nodes")
+        work.discard(rows)
+        return slim, texts, copies
     return rows.select("node", "doc", "digest"), texts, copies
 
 

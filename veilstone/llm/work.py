@@ -65,6 +65,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a written table that nothing will read again."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def id_or_least(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
