@@ -265,10 +265,12 @@ def _similar_roots(docs: DataFrame, texts: DataFrame, words: int, similarity: fl
         if state["seen"] is not None:
             pairs = pairs.join(state["seen"], ["u", "v"], "left_anti")
         pairs = work.written(pairs, "candidate-pairs")
+        work.release(docs.sparkSession)
         state["seen"] = pairs if state["seen"] is None else state["seen"].union(pairs)
         if not pairs.limit(1).count():
             return
         new = _similar(docs, texts, pairs, words, similarity)
+        work.release(docs.sparkSession)
         state["links"] = new if state["links"] is None else work.written(state["links"].union(new), "all-links")
         state["roots"] = work.written(components(state["links"]), "roots")
 

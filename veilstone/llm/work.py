@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,12 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files behind tables that are written: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_or_least(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
