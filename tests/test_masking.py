@@ -117,3 +117,14 @@ def test_validators_agree_with_plain_forms(spark):
     ids = ["".join(r.choice("0123456789") for _ in range(11)) for _ in range(300)] + ["10000000146"]
     df = spark.createDataFrame([(i,) for i in ids], "x string").select("x", validators.national_id_valid(F.col("x")).alias("a"), validators.card_valid(F.col("x")).alias("c"))
     assert all(patterns.national_id(x.x) == x.a for x in df.collect())
+
+
+def test_pasted_values_are_found():
+    found = lambda text: [(c, text[a:b]) for c, a, b, _, _ in patterns.detect_text(text)]
+    assert found("'ada@x.org' or ada@x.org") == [("email", "ada@x.org")] * 2
+    spaced = "TR33\u00a00006\u00a01005\u202f1978\u00a06457\u00a08413\u00a026"
+    assert found(f"iban {spaced}, {spaced.lower()}") == [("iban", spaced), ("iban", spaced.lower())]
+    assert {patterns.normal_form("iban", x) for x in (spaced, spaced.lower())} == {"TR330006100519786457841326"}
+    for area in ("510", "516", "570", "575", "800"):
+        assert found(f"call 0 {area} 555 12 34") == [("phone", f"0 {area} 555 12 34")]
+    assert found("call 0 520 555 12 34") == []

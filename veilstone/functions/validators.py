@@ -13,16 +13,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Geographic and mobile area codes of the public Turkish numbering plan.
+# Geographic, mobile, data and freephone area codes of the public Turkish numbering plan.
 TR_AREA_CODES = (
     "212", "216", "222", "224", "226", "228", "232", "236", "242", "246", "248", "252", "256", "258", "262", "264", "266", "272", "274", "276",
     "282", "284", "286", "288", "312", "318", "322", "324", "326", "328", "332", "338", "342", "344", "346", "348", "352", "354", "356", "358",
     "362", "364", "366", "368", "370", "372", "374", "376", "378", "380", "382", "384", "386", "388", "392", "412", "414", "416", "422", "424",
     "426", "428", "432", "434", "436", "438", "442", "446", "452", "454", "456", "458", "462", "464", "466", "472", "474", "476", "478", "482",
-    "484", "486", "488", "501", "505", "506", "507", "530", "531", "532", "533", "534", "535", "536", "537", "538", "539", "540", "541", "542",
-    "543", "544", "545", "546", "547", "548", "549", "551", "552", "553", "554", "555", "559", "561", "850",
+    "484", "486", "488", "501", "505", "506", "507", "510", "516", "530", "531", "532", "533", "534", "535", "536", "537", "538", "539", "540", "541", "542",
+    "543", "544", "545", "546", "547", "548", "549", "551", "552", "553", "554", "555", "559", "561",
+    "570", "571", "572", "573", "574", "575", "800", "850",
 )
 
+#: The inside of a class of all white space: Java's own is ASCII only, so a number pasted with no-break spaces needs them spelled out.
+WHITE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
 #: Categories, with their placeholder prefix and their rank in ties. Literals and rules are unranked (last).
 CATEGORIES = {
     "email": "EMAIL", "iban": "IBAN", "national_id": "NATIONAL_ID", "card": "CARD", "phone": "PHONE",
@@ -63,7 +67,7 @@ def card_valid(x: Column) -> Column:
 
 def iban_valid(x: Column) -> Column:
     """15 to 34 characters of country, check digits and account, whose number modulo 97 is 1."""
-    iban = F.upper(F.regexp_replace(x, " ", ""))
+    iban = F.upper(F.regexp_replace(x, f"[{WHITE}]", ""))
     turned = F.concat(F.substring(iban, 5, 34), F.substring(iban, 1, 4))
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
     rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
@@ -102,7 +106,7 @@ def normalized(category: Column, raw: Column) -> Column:
     name = lower_tr(collapse(nfc(raw)))
     return (
         F.when(category == "email", F.lower(nfc(raw)))
-        .when(category == "iban", F.upper(F.regexp_replace(raw, " ", "")))
+        .when(category == "iban", F.upper(F.regexp_replace(raw, f"[{WHITE}]", "")))
         .when(category.isin(*NUMERIC_CATEGORIES), digits_only(raw))
         .when(category == "phone", F.concat(F.lit("+90"), F.coalesce(phone_national(raw), digits_only(raw))))
         .when(category.isin("person", "organization", "location", "document_number"), name)

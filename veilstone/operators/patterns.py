@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folding import strip_format
-from ..functions.validators import RANK, TR_AREA_CODES
+from ..functions.validators import RANK, TR_AREA_CODES, WHITE
 
 _AREAS = frozenset(TR_AREA_CODES)
-_LOCAL = r"\p{L}\p{M}\p{N}._%+'-"
+_LOCAL = r"\p{L}\p{M}\p{N}._%+-"
+_SPACE = rf"[{WHITE}]"
 _GAP = r"[ \-\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\u2010-\u2015]"
 _BREAK = r"[ .\-\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\u2010-\u2015]"
 
 PATTERNS = (
     ("email", regex.compile(rf"(?<![{_LOCAL}])[{_LOCAL}]++@(?:[\p{{L}}\p{{M}}\p{{N}}-]++\.)+\p{{L}}{{2,63}}+(?!\p{{L}})")),
-    ("iban", regex.compile(r"(?<![A-Za-z0-9])TR[0-9]{2}(?: ?[0-9]{4}){5} ?[0-9]{2}(?![A-Za-z0-9])")),
+    ("iban", regex.compile(rf"(?<![A-Za-z0-9])[Tt][Rr][0-9]{{2}}(?:{_SPACE}?[0-9]{{4}}){{5}}{_SPACE}?[0-9]{{2}}(?![A-Za-z0-9])")),
     ("iban", regex.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}(?![A-Za-z0-9])")),
     ("national_id", regex.compile(r"(?<![0-9])[0-9]{11}(?![0-9])")),
     ("card", regex.compile(rf"(?<![0-9])[0-9](?:{_GAP}?[0-9]){{12,18}}(?![0-9])")),
@@ -37,6 +38,9 @@ PATTERNS = (
 )
 
 
+_WHITE = regex.compile(_SPACE)
+
+
 def _digits(raw: str) -> str:
     return "".join(c for c in raw if "0" <= c <= "9")
 
@@ -55,7 +59,7 @@ def national_id(d: str) -> bool:
 
 
 def iban(raw: str) -> bool:
-    x = raw.replace(" ", "").upper()
+    x = _WHITE.sub("", raw).upper()
     return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
@@ -78,7 +82,7 @@ def normal_form(category: str, raw: str) -> str:
     if category == "email":
         return unicodedata.normalize("NFC", raw).lower()
     if category == "iban":
-        return raw.replace(" ", "").upper()
+        return _WHITE.sub("", raw).upper()
     if category == "phone":
         return "+90" + (phone_digits(raw) or _digits(raw))
     return _digits(raw)

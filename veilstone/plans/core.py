@@ -31,7 +31,9 @@ def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("unit_ix"), "text")
 
 
-_EMAIL = r"[\p{L}\p{M}\p{N}._%+''-]+@(?:[\p{L}\p{M}\p{N}-]+\.)+\p{L}{2,63}"
+_EMAIL = r"[\p{L}\p{M}\p{N}._%+-]+@(?:[\p{L}\p{M}\p{N}-]+\.)+\p{L}{2,63}"
+_WHITE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_AREAS = ", ".join(f"'{a}'" for a in validators.TR_AREA_CODES)
 _EMAILS = f"""
 hits AS (
   SELECT doc_id, text, unnest(regexp_extract_all(text, '{_EMAIL}')) AS raw, generate_subscripts(regexp_extract_all(text, '{_EMAIL}'), 1) AS place FROM documents
@@ -105,7 +107,7 @@ def q_card_luhn(spark, sf_dir):
     return fixture(spark, "ids").filter("kind = 'card'").withColumn("valid", validators.card_valid(F.col("value")))
 
 
-@query(f"""WITH i AS (SELECT *, upper(replace(value, ' ', '')) AS i FROM {fixture_sql("ids")} WHERE kind = 'iban'), t AS (SELECT *, i[5:] || i[:4] AS t FROM i)
+@query(f"""WITH i AS (SELECT *, upper(regexp_replace(value, '{_WHITE}', '', 'g')) AS i FROM {fixture_sql("ids")} WHERE kind = 'iban'), t AS (SELECT *, i[5:] || i[:4] AS t FROM i)
 SELECT kind, value, CASE WHEN regexp_full_match(i, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}')
   THEN array_to_string(list_transform(range(1, len(t) + 1), lambda k: CASE WHEN t[k] BETWEEN '0' AND '9' THEN t[k] ELSE (ord(t[k]) - 55)::VARCHAR END), '')::HUGEINT IS NOT NULL
    AND list_reduce(list_prepend(0::BIGINT, list_transform(range(1, len(t) + 1), lambda k: CASE WHEN t[k] BETWEEN '0' AND '9' THEN t[k]::BIGINT ELSE (ord(t[k]) - 55)::BIGINT END)),
@@ -115,9 +117,28 @@ def q_iban(spark, sf_dir):
     return fixture(spark, "ids").filter("kind = 'iban'").withColumn("valid", validators.iban_valid(F.col("value")))
 
 
+@query(f"""WITH kinds AS (
+  SELECT doc_id, 'email' AS category, lower(unnest(regexp_extract_all(text, '{_EMAIL}'))) AS normalized FROM {fixture_sql("pasted")}
+  UNION ALL
+  SELECT doc_id, 'iban', upper(regexp_replace(unnest(regexp_extract_all(text, '(?i)\\b(?:TR[0-9]{{2}}(?:{_WHITE}?[0-9]{{4}}){{5}}{_WHITE}?[0-9]{{2}}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})\\b')), '{_WHITE}', '', 'g')) FROM {fixture_sql("pasted")}
+  UNION ALL
+  SELECT doc_id, 'national_id', unnest(regexp_extract_all(text, '\\b[0-9]{{11}}\\b')) FROM {fixture_sql("pasted")}
+  UNION ALL
+  SELECT doc_id, 'phone', '+90' || right(regexp_replace(unnest(regexp_extract_all(text, '(?:\\+90|0090|\\b0)[ .-]?\\(?[0-9]{{3}}\\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{2}}[ .-]?[0-9]{{2}}\\b')), '[^0-9]', '', 'g'), 10) FROM {fixture_sql("pasted")}
+), turned AS (SELECT *, normalized[5:] || normalized[:4] AS t FROM kinds)
+SELECT doc_id, category, normalized, count(*) AS hits FROM turned WHERE CASE category
+  WHEN 'iban' THEN list_reduce(list_prepend(0::BIGINT, list_transform(range(1, len(t) + 1), lambda k: CASE WHEN t[k] BETWEEN '0' AND '9' THEN t[k]::BIGINT ELSE (ord(t[k]) - 55)::BIGINT END)),
+    lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+  WHEN 'national_id' THEN list_sum(list_transform(range(1, 11), lambda i: normalized[i]::INT)) % 10 = normalized[11]::INT
+  WHEN 'phone' THEN normalized[4:6] IN ({_AREAS}) ELSE TRUE END
+GROUP BY ALL""")
+def q_pasted_found(spark, sf_dir):
+    return patterns.detect(fixture(spark, "pasted")).groupBy("doc_id", "category", "normalized").agg(F.count(F.lit(1)).alias("hits"))
+
+
 @query(f"""WITH d AS (SELECT *, regexp_replace(regexp_replace(value, '[^0-9]', '', 'g'), '^00', '') AS d FROM {fixture_sql("ids")} WHERE kind = 'phone'),
 n AS (SELECT *, CASE WHEN len(d) = 12 AND d LIKE '90%' THEN d[3:] WHEN len(d) = 11 AND d LIKE '0%' THEN d[2:] ELSE d END AS n FROM d)
-SELECT kind, value, len(n) = 10 AND n[:3] IN ('212', '532', '312') AS valid FROM n""")
+SELECT kind, value, len(n) = 10 AND n[:3] IN ({_AREAS}) AS valid FROM n""")
 def q_phone(spark, sf_dir):
     return fixture(spark, "ids").filter("kind = 'phone'").withColumn("valid", validators.phone_valid(F.col("value")))
 

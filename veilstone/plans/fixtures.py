@@ -10,8 +10,13 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "ids": ("kind string, value string", [
         ("national_id", "10000000146"), ("national_id", "10000000147"), ("national_id", "11111111111"), ("national_id", "01000000146"), ("national_id", "1000000014"), ("national_id", ""),
         ("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1112"), ("card", "0000000000000000"), ("card", "5500000000000004"), ("card", "378282246310005"), ("card", "123"),
-        ("iban", "TR330006100519786457841326"), ("iban", "TR33 0006 1005 1978 6457 8413 26"), ("iban", "TR330006100519786457841327"), ("iban", "DE89370400440532013000"), ("iban", "GB82WEST12345698765432"), ("iban", "XX00"),
+        ("iban", "TR330006100519786457841326"), ("iban", "TR33 0006 1005 1978 6457 8413 26"), ("iban", "TR330006100519786457841327"), ("iban", "DE89370400440532013000"), ("iban", "GB82WEST12345698765432"), ("iban", "XX00"), ("iban", "tr33\u00a00006 1005\u202f1978 6457 8413\t26"),
         ("phone", "+90 212 555 12 34"), ("phone", "0(532) 555-12-34"), ("phone", "0090 312 555 1234"), ("phone", "0199 555 12 34"), ("phone", "212"), ("phone", "+1 (017) 555-7713"),
+        ("phone", "+90 510 555 12 34"), ("phone", "0 516 555 12 34"), ("phone", "+90 570 555 12 34"), ("phone", "0575 555 12 34"), ("phone", "0800 555 12 34"), ("phone", "0 520 555 12 34"),
+    ]),
+    "pasted": ("doc_id long, unit_ix int, text string", [
+        (1, 0, "from 'ada@x.org' or ada@x.org, o'brien@y.org"), (2, 0, "iban TR33\u00a00006\u00a01005\u00a01978\u00a06457\u00a08413\u00a026 or tr33 0006 1005 1978 6457 8413 26"), (3, 0, "TR33 0006 1005 1978 6457 8413 27"),
+        (4, 0, "call +90 510 555 12 34, 0 (570) 555 12 34 or 0800 555 12 34"), (5, 0, "0 199 555 12 34"), (6, 0, "gb82west12345698765432 DE89370400440532013000"), (7, 0, "id 10000000146, 10000000147"), (8, 0, None), (9, 0, ""),
     ]),
     "folds": ("id int, text string", [(1, "Işıl  ÇAĞRI"), (2, "a_b.c-d"), (3, "x – y — z"), (4, "Şükrü\tÖZ"), (5, ""), (6, "Plain text"), (7, "İstanbul"), (8, "  lead and trail ")]),
     "rules": ("rule_ord int, rule_id string, find string, replacement string, exact boolean", [
