@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.validators import normalized
+from . import spans
 from .findings import LAYERS
 
 THRESHOLD = 0.84
@@ -164,6 +165,33 @@ def address_like(category: Column, value: Column, line: Column, following: Colum
     )
 
 
+def settle(found: DataFrame, units: DataFrame) -> DataFrame:
+    """found(doc_id, unit_ix, category, start, end, score) with clean spans, without technical terms, code and parts of addresses.
+
+    A span loses brackets and punctuation at its ends and grows to the edges of its words,
+    as ``spans.clean_span`` and ``spans.expand_span`` have it. The text joins once; only
+    short columns leave this step.
+    """
+    word, text = r"[\p{L}\p{N}\p{M}]*", F.col("text")
+    trim = "[" + "".join(f"\\{c}" if c.isascii() else c for c in spans.TRIM) + "]+"
+    told = found.select("doc_id", "unit_ix", "category", "start", "end", "score").join(units.select("doc_id", "unit_ix", "text"), ["doc_id", "unit_ix"])
+    raw = F.substring(text, F.col("start") + 1, F.col("end") - F.col("start"))
+    clean = told.withColumn("a", F.col("start") + F.length(raw) - F.length(F.regexp_replace(raw, f"^{trim}", ""))).withColumn("b", F.col("end") - F.length(raw) + F.length(F.regexp_replace(raw, f"{trim}$", "")))
+    reach = spans.MOST_REACH
+    first = F.greatest(F.col("a") - reach - 1, F.lit(0))
+    left = F.length(F.regexp_extract(F.substring(text, first + 1, F.col("a") - first), f"{word}$", 0))
+    right = F.length(F.regexp_extract(F.substring(text, F.col("b") + 1, F.lit(reach + 1)), f"^{word}", 0))
+    grown = clean.filter("b > a").withColumns({"a": F.col("a") - F.when(left <= reach, left).otherwise(0), "b": F.col("b") + F.when(right <= reach, right).otherwise(0)})
+    value = F.substring(text, F.col("a") + 1, F.col("b") - F.col("a"))
+    head = F.substring_index(F.substring(text, F.lit(1), F.col("a")), "\n", -1)
+    rest = F.substring(text, F.col("a") + 1, F.length(text))
+    following = F.when(F.contains(rest, F.lit("\n")), F.substring_index(F.substring_index(rest, "\n", 2), "\n", -1))
+    line = F.concat(head, F.substring_index(rest, "\n", 1))
+    noise = is_technical(value, line, F.length(head)) | address_like(F.col("category"), value, line, following)
+    kept = grown.filter((F.length(value) >= 2) & ~F.coalesce(noise, F.lit(False)))
+    return kept.select("doc_id", "unit_ix", "category", F.col("a").alias("start"), F.col("b").alias("end"), "score", value.alias("value"))
+
+
 def entity_findings(entities: DataFrame) -> DataFrame:
     """Findings by (category, normalized): hits, best score, variants."""
     named = entities.withColumn("normalized", normalized(F.col("category"), F.col("value")))

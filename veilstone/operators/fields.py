@@ -14,6 +14,7 @@ from ..functions import folding
 from ..functions.validators import normalized
 from ..session import broadcast_if
 from .findings import LAYERS
+from .patterns import matched_chars
 
 # Captions of public forms, by category.
 DEFAULT_LABELS = {
@@ -52,6 +53,18 @@ def not_covered(values: DataFrame, matches: DataFrame, share: float = 0.8) -> Da
     return values.join(covered.select(*key), key, "left_anti")
 
 
+def presentable(values: DataFrame, labels: DataFrame, share: float = 0.8) -> DataFrame:
+    """values(category, value, ...) that can be field values: of the right shape, no label themselves, and less than ``share`` pattern matches.
+
+    The shape is checked first, in the JVM; only what passes goes to Python.
+    """
+    form = F.trim(F.regexp_replace(folding.comparison(F.col("value")), "[:：]", ""))
+    known = broadcast_if(labels.select(F.col("label").alias("form")).distinct())
+    shaped = values.filter(acceptable(F.col("category"), F.col("value"), F.lit(False)))
+    named = shaped.withColumn("form", form).join(known, "form", "left_anti").drop("form")
+    return named.filter(matched_chars(F.col("value")) < share * F.length("value"))
+
+
 def _trimmed(value: Column) -> Column:
     return F.regexp_replace(value, r"^[\s:：,;|]+|[\s,;|]+$", "")
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.folding import strip_format
 from ..functions.validators import RANK, TR_AREA_CODES, WHITE
@@ -116,6 +117,12 @@ def detect_text(text: str, allowed: list[str] | None = None) -> list[tuple[str,
     return out
 
 
+@F.arrow_udf(IntegerType())
+def matched_chars(x: pa.Array) -> pa.Array:
+    """How many characters of a text its pattern matches take."""
+    return pa.array([sum(b - a for _, a, b, _, _ in detect_text(t)) if t else 0 for t in x.to_pylist()], pa.int32())
+
+
 MATCHES = "doc_id long, unit_ix int, category string, start int, end int, raw string, normalized string"
 
 

@@ -104,15 +104,15 @@ def match_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
     return placed.join(texts, ["doc_id", "unit_ix"]).select("doc_id", "unit_ix", "rule_ord", "rule_id", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("raw"))
 
 
-def rule_findings(matches: DataFrame, rules: DataFrame) -> DataFrame:
-    """One finding for each matched rule of a document; its placeholder is the rule's replacement."""
+def rule_findings(matches: DataFrame, rules: DataFrame, layer: str = "rules") -> DataFrame:
+    """One finding for each matched rule (or user literal) of a document; its placeholder is the rule's replacement."""
     place = F.struct("unit_ix", "start")
     grouped = matches.groupBy("doc_id", "rule_ord", "rule_id").agg(
         F.min_by("raw", place).alias("value"), F.array_sort(F.collect_set("raw")).alias("variants"), F.count(F.lit(1)).alias("count")
     )
     joined = grouped.join(broadcast_if(rules.select("rule_ord", "replacement", "comparison")), "rule_ord")
     return joined.select(
-        "doc_id", F.lit(LAYERS["rules"]).alias("layer"), F.col("rule_ord").alias("ord"), F.lit("custom").alias("category"), F.col("comparison").alias("normalized"),
+        "doc_id", F.lit(LAYERS[layer]).alias("layer"), F.col("rule_ord").alias("ord"), F.lit("custom").alias("category"), F.col("comparison").alias("normalized"),
         "value", "variants", "count", F.lit("exact").alias("confidence"), F.lit(None).cast("double").alias("score"), "replacement",
     )
 

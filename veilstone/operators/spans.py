@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 MOST_JUMP, MOST_REACH, MOST_PASSES = 64, 24, 3
-_TRIM = "()[]{}<>\"'“”‘’«»,.;:!?-–—/|\\ \t\r\n"
+TRIM = "()[]{}<>\"'“”‘’«»,.;:!?-–—/|\\ \t\r\n"
 
 
 def lower_tr(text: str) -> str:
@@ -36,9 +36,9 @@ def align_pieces(text: str, pieces: list[str]) -> list[tuple[int, int] | None]:
 
 def clean_span(text: str, start: int, end: int) -> tuple[int, int]:
     """Without brackets, quotes and punctuation at its ends."""
-    while start < end and text[start] in _TRIM:
+    while start < end and text[start] in TRIM:
         start += 1
-    while end > start and text[end - 1] in _TRIM:
+    while end > start and text[end - 1] in TRIM:
         end -= 1
     return start, end
 

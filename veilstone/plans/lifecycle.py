@@ -26,11 +26,19 @@ class Scan:
     warnings: DataFrame | None = None
 
 
+def _with_data(units: DataFrame, cells: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """units whose data cells are marked, so that they aren't read as labels."""
+    if cells is None:
+        return units
+    data = fields.data_cells(cells, labels).groupBy("doc_id", "unit_ix").agg(F.bool_or("is_data").alias("is_data"))
+    return units.drop("is_data").join(data, ["doc_id", "unit_ix"], "left")
+
+
 def scan(
     units: DataFrame, rule_table: DataFrame | None = None, labels: DataFrame | None = None, tokens: DataFrame | None = None, names: DataFrame | None = None,
-    cells: DataFrame | None = None,
+    cells: DataFrame | None = None, literals: DataFrame | None = None,
 ) -> Scan:
-    """Runs the layers that have their input: normalised rules, labels, a table of model tokens, file-name units, table cells."""
+    """Runs the layers that have their input: normalised rules, labels, a table of model tokens, file-name units, table cells, normalised user literals."""
     layers = []
     if rule_table is not None:
         layers.append(rules.rule_findings(rules.match_rules(units, rule_table), rule_table))
@@ -38,20 +46,21 @@ def scan(
     if names is not None:
         layers.append(findings.aggregate_findings(patterns.detect(names), "filename"))
     if labels is not None:
-        told = [fields.same_line(units, labels).select("doc_id", "unit_ix", "category", "value"), fields.neighbours(units, labels).select("doc_id", "unit_ix", "category", "value")]
+        told = [fields.same_line(units, labels).select("doc_id", "unit_ix", "category", "value"), fields.neighbours(_with_data(units, cells, labels), labels).select("doc_id", "unit_ix", "category", "value")]
         if cells is not None:
             told.append(fields.column_headers(cells, labels).select("doc_id", "unit_ix", "category", "value"))
         values = told[0]
         for t in told[1:]:
             values = values.union(t)
-        layers.append(fields.field_findings(values.filter(fields.acceptable(F.col("category"), F.col("value"), F.lit(False)))))
+        layers.append(fields.field_findings(fields.presentable(values, labels)))
     warnings = None
     if tokens is not None:
         good = tokens.filter("status = 'ok'") if "status" in tokens.columns else tokens
-        found = entities.resolve_overlaps(entities.group_tokens(good).drop("chunk_ix"))
-        layers.append(entities.entity_findings(found.filter(~entities.is_technical(F.col("value")))))
+        layers.append(entities.entity_findings(entities.resolve_overlaps(entities.settle(entities.group_tokens(good), units))))
         if "status" in tokens.columns:
             warnings = tokens.filter("status <> 'ok'").groupBy("doc_id").agg(F.first("status").alias("warning"))
+    if literals is not None:
+        layers.append(rules.rule_findings(rules.match_literals(units, literals), literals, "literals"))
     every = units.select("doc_id", "unit_ix", "text", *(["allowed"] if "allowed" in units.columns else []))
     if names is not None:
         every = every.unionByName(names, allowMissingColumns=True)
