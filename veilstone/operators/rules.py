@@ -74,7 +74,8 @@ def match_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
     """
     index = broadcast_if(rule_index(rules))
     held = units.filter("text is not null").select("doc_id", "unit_ix", F.explode(F.array_distinct(folding.tokens(F.col("text")))).alias("raw"))
-    vocabulary = held.select("raw").distinct().withColumn("word", folding.comparison(F.col("raw")))  # folded once for each distinct word
+    # stored, so that the texts are read for it once and each distinct word is folded once, not again in every use of its folded form
+    vocabulary = stored(held.select("raw").distinct().withColumn("word", folding.comparison(F.col("raw"))))
     # a word can only match an anchor of about its length, and needs no more deletions than that anchor's tolerance
     edits, size = F.get("tolerances", F.col("anchor")), F.length(F.get("words", F.col("anchor")))
     lengths = index.select(F.explode(F.sequence(F.greatest(size - edits, F.lit(1)), size + edits)).alias("length"), edits.alias("edits")).groupBy("length").agg(F.max("edits").alias("edits"))
