@@ -72,10 +72,10 @@ def infer_distinct(units: DataFrame, provider: Callable[[list[str]], list[list[t
 
     Columns: doc_id, unit_ix, chunk_ix, tok_ix, word, tag, score, start, end, status ('ok' or the error, fail closed).
     """
-    told = units.filter("text is not null").withColumn("same", F.xxhash64("text", F.length("text")))
+    told = units.filter("text is not null").withColumn("same", F.sha2("text", 256))
     distinct = told.filter(name_bearing(F.col("text"))).dropDuplicates(["same"]).select("same", "text")
     pieces = chunks(distinct, profile).select("same", "chunk_ix", F.col("start").alias("at"), "chunk")
-    schema = "same long, chunk_ix int, tok_ix int, word string, tag string, score double, start int, end int, status string"
+    schema = "same string, chunk_ix int, tok_ix int, word string, tag string, score double, start int, end int, status string"
 
     def answered(part: list[tuple]) -> list[tuple]:
         """Rows of a batch; where it fails its texts are asked about one by one, and the error stays with those that fail again."""
@@ -91,7 +91,7 @@ def infer_distinct(units: DataFrame, provider: Callable[[list[str]], list[list[t
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             rows, held = [], list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             size = 32 if all(len(h[3]) <= 160 for h in held) else 8
