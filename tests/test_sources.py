@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from veilstone import session
 from veilstone.plans.fixtures import fixture
 from veilstone.sources import files, office
 from veilstone.streaming import events as streams
@@ -82,6 +83,33 @@ def test_extract_and_apply(spark, tmp_path):
     assert next(office.read_document(out["b-masked.docx"]))["text"] == "Mail [E] now"
 
 
+def test_extract_holds_few_units_at_a_time(spark):
+    """Each unit's text tells how many units are held when it is read: a batch's, and its own file's, but not all files'."""
+
+    class Held(str):
+        live = 0
+
+        def __new__(cls, text):
+            cls.live += 1
+            return super().__new__(cls, text)
+
+        def __del__(self):
+            type(self).live -= 1
+
+    def read(data):
+        for i in range(200):
+            yield {"unit_ix": i, "text": Held(Held.live), "kind": "txt"}
+        if data == b"bad":
+            raise ValueError("breaks off")
+
+    rows = [(i, "a.txt", bytearray(b"bad" if i % 20 == 19 else b"good")) for i in range(80)]
+    held = spark.createDataFrame(rows, "doc_id long, name string, content binary").coalesce(1)
+    got = files.extract(held, [files.Adapter(("txt",), read)]).selectExpr("problem", "cast(text as int) as live").collect()
+    assert sum(r.problem is None for r in got) == 76 * 200 and [r.problem for r in got if r.problem] == ["ValueError: breaks off"] * 4
+    assert max(r.live for r in got if r.problem is None) <= files.BATCH_UNITS + 2 * 200
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(session.ARROW_BYTES)
+
+
 def test_signatures(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + b"\0" * 20 + b"\0\0\0\0IEND\xaeB`\x82"
     rows = [("a.pdf", b"%PDF-1.7\n..\n%%EOF \n"), ("b.pdf", b"%PDF-1.7"), ("c.png", png), ("d.png", b"\x89PNG"), ("e.jpg", b"\xff\xd8\xff..\xff\xd9"), ("f.jpg", b"\xff\xd8\xff"), ("g.txt", b"a\0b"), ("h.txt", b"\x01" + b"a" * 200), ("i.txt", b"\x01" * 5 + b"a" * 95), ("j.txt", b""), ("k.exe", b"x")]

@@ -29,6 +29,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
 
 
+#: Bytes in one Arrow batch sent to Python where a row can carry a whole file: ten thousand of them, Spark's own bound, would be held several times.
+ARROW_BYTES = 4 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches; a bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 #: Tables of up to so many counted rows are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 500_000
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import EXTENSIONS, LARGEST_BYTES, extension
+from ..session import bound_batches
 
 #: What a reader gives: one row for each unit of a file.
 UNIT = T.StructType([
@@ -99,17 +100,30 @@ def text_adapter() -> Adapter:
     return Adapter(("txt",), read_text, write_text)
 
 
+#: Units and characters at which a batch of ``extract`` is handed on, so that a task's memory doesn't grow with the number of files.
+BATCH_UNITS, BATCH_CHARS = 4_096, 1_000_000
+
+
 def extract(files: DataFrame, adapters: list[Adapter]) -> DataFrame:
     """Units of files(doc_id, name, content): the first adapter that takes the extension reads it.
 
     A file that fails, or that no adapter takes, gives one row with ``problem`` set and no text.
     """
     checked = validate(files)
+    bound_batches(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[int] = []
+        units: list[dict] = []
+        chars = 0
+
+        def put() -> pa.RecordBatch:
+            columns = [pa.array([u.get(name) for u in units], kind) for name, kind in zip(_ARROW.names[1:], _ARROW.types[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *columns], schema=_ARROW)
+
         for batch in batches:
-            rows = []
-            for doc, name, content, problem in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):  # a file at a time: neither the contents nor the units of a whole batch are held as objects
+                doc, name, content, problem = (c[i].as_py() for c in batch.columns)
                 kind = name.rsplit(".", 1)[-1].lower()
                 adapter = next((a for a in adapters if kind in a.extensions), None)
                 own: list[dict] = []
@@ -117,11 +131,18 @@ def extract(files: DataFrame, adapters: list[Adapter]) -> DataFrame:
                     problem = f"no adapter reads .{kind}"
                 if not problem:
                     try:
-                        own = [dict.fromkeys(_ARROW.names) | u | {"doc_id": doc} for u in adapter.read(content)]
+                        own = list(adapter.read(content))
                     except Exception as e:  # noqa: BLE001  a broken file is a rejected row
                         problem = f"{type(e).__name__}: {e}"[:200]
-                rows += [dict.fromkeys(_ARROW.names) | {"doc_id": doc, "problem": problem}] if problem else own
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                for unit in [{"problem": problem}] if problem else own:
+                    docs.append(doc)
+                    units.append(unit)
+                    chars += len(unit.get("text") or "")
+                    if len(units) >= BATCH_UNITS or chars >= BATCH_CHARS:
+                        yield put()
+                        docs, units, chars = [], [], 0
+        if units:
+            yield put()
 
     return checked.select("doc_id", "name", "content", "problem").mapInArrow(run, UNIT)
 
